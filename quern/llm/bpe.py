@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from functools import cache
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -25,7 +26,7 @@ OTHER, LETTER, NUMBER, WHITE, SPACE, APOS = range(6)
 #: takes in; a contraction with one or two letters to come; a contraction that has just ended.
 S_LETTER, S_NUMBER, S_OTHER, S_WHITE, S_JOIN, S_ONE, S_TWO, S_END = range(8)
 #: Entries of one generation of the cache of merged pre-tokens; two generations are kept.
-CACHE = 150_000
+CACHE = 300_000
 
 
 @cache
@@ -114,27 +115,27 @@ def pieces(path: str) -> list[bytes]:
     return out
 
 
-def merge(word: bytes, rank: dict[bytes, int]) -> list[int]:
+def merge(word: bytes, rank: dict[bytes, int]) -> tuple[int, ...]:
     """Ids of a pre-token: of the neighbouring parts whose union has the lowest rank, the leftmost are joined, again and again."""
     if (whole := rank.get(word)) is not None:
-        return [whole]
+        return (whole,)
     if len(word) > 400:
         return _merge_long(word, rank)
     get, none = rank.get, 1 << 30
-    parts = [word[i : i + 1] for i in range(len(word))]
+    at = list(range(len(word) + 1))  # where the parts start, and the end
     pairs = [get(word[i : i + 2], none) for i in range(len(word) - 1)]
-    while pairs and (least := min(pairs)) < none:
+    pairs.append(none)  # the last part has no partner
+    while (least := min(pairs)) < none:
         i = pairs.index(least)
-        parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        del pairs[i]
-        if i < len(pairs):
-            pairs[i] = get(parts[i] + parts[i + 1], none)
+        del at[i + 1], pairs[i + 1]
+        a = at[i]
+        pairs[i] = get(word[a : at[i + 2]], none) if i + 2 < len(at) else none
         if i:
-            pairs[i - 1] = get(parts[i - 1] + parts[i], none)
-    return [rank[p] for p in parts]
+            pairs[i - 1] = get(word[at[i - 1] : at[i + 1]], none)
+    return tuple([rank[word[a:b]] for a, b in zip(at, at[1:], strict=False)])
 
 
-def _merge_long(word: bytes, rank: dict[bytes, int]) -> list[int]:
+def _merge_long(word: bytes, rank: dict[bytes, int]) -> tuple[int, ...]:
     """merge() with a heap and linked parts, for runs of thousands of characters without a boundary."""
     import heapq
 
@@ -161,7 +162,7 @@ def _merge_long(word: bytes, rank: dict[bytes, int]) -> list[int]:
     while i < n:
         out.append(rank[word[i : end[i]]])
         i = end[i]
-    return out
+    return tuple(out)
 
 
 class Encoder:
@@ -169,10 +170,11 @@ class Encoder:
 
     def __init__(self, path: str):
         self.rank, self.piece = ranks(path), pieces(path)
-        self.young: dict[str, list[int]] = {}
-        self.old: dict[str, list[int]] = {}
+        self.decimal = list(map(str, range(len(self.piece))))
+        self.young: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
 
-    def _miss(self, word: str) -> list[int]:
+    def _miss(self, word: str) -> tuple[int, ...]:
         if (ids := self.old.get(word)) is None:
             ids = merge(word.encode("utf-8", "surrogatepass"), self.rank)
         if len(word) <= 64:
@@ -181,19 +183,13 @@ class Encoder:
             self.young[word] = ids
         return ids
 
-    def words(self, text: str) -> list[list[int]]:
-        """The ids of each pre-token."""
-        at, get, miss = boundaries(text).tolist(), self.young.get, self._miss
-        out = []
-        for a, b in zip(at, at[1:], strict=False):
-            word = text[a:b]
-            out.append(get(word) or miss(word))
-            if get.__self__ is not self.young:
-                get = self.young.get
-        return out
-
     def encode(self, text: str) -> list[int]:
-        return [i for ids in self.words(text) for i in ids]
+        at = boundaries(text).tolist()
+        words = [text[a:b] for a, b in zip(at, at[1:], strict=False)]
+        found = list(map(self.young.get, words))
+        for i in [i for i, x in enumerate(found) if x is None]:
+            found[i] = self._miss(words[i])
+        return list(chain.from_iterable(found))
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.piece.__getitem__, ids))
@@ -243,7 +239,7 @@ def round_trip(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_co
         for text in texts(batch):
             ids = e.encode(text)
             n.append(len(ids))
-            coded.append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+            coded.append(hashlib.sha256(" ".join(map(e.decimal.__getitem__, ids)).encode()).hexdigest())
             decoded.append(hashlib.sha256(e.decode(ids)).hexdigest())
         return {"doc_id": batch.column("doc_id"), "n_tokens": n, "ids_sha256": coded, "decoded_sha256": decoded}
 
