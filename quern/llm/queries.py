@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from .common import table
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, counts and digest of the base spans, and all spans, of every document."""
+    from .secrets import secrets
+
+    return secrets(table(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document; a null text is an empty one."""
     import public_tokenizers
@@ -24,7 +31,29 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op5_byte_bpe, op6_simhash)}
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, the base counts, base_failed and kept of every document."""
+    from .quality import quality
+
+    return quality(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, counts and digest of the base spans, and all spans, of every document."""
+    from .pii import personal_data
+
+    return personal_data(table(spark, sf_dir, "documents")).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of every document, by a machine fitted to the labels that are not held out."""
+    from .toxicity import learn, scores
+
+    docs = table(spark, sf_dir, "documents")
+    return scores(docs, learn(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES = {f.__name__: f for f in (op1_secrets, op5_byte_bpe, op6_simhash, op8_quality, op9_personal_data, op10_toxicity)}
 
 #: SQL for the queries that SQL can express.
 SQL: dict[str, str] = {}
