@@ -15,6 +15,20 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets(table(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, source_size, target and taken of every document, and the shards that its first and second copy go to."""
+    from .mixing import draws
+
+    return draws(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "shard1", "shard2")
+
+
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, the base phrases' counts and places, base_labels, labels and score of every document."""
+    from .licenses import licenses
+
+    return licenses(table(spark, sf_dir, "documents")).drop("detections")
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document; a null text is an empty one."""
     import public_tokenizers
@@ -53,7 +67,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores(docs, learn(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op5_byte_bpe, op6_simhash, op8_quality, op9_personal_data, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_mixing, op4_licenses, op5_byte_bpe, op6_simhash, op8_quality, op9_personal_data, op10_toxicity)}
 
 #: SQL for the queries that SQL can express.
 SQL: dict[str, str] = {}
