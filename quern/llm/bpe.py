@@ -16,9 +16,12 @@ from functools import cache
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
-from .common import id_text, map_batches, texts
+from .common import id_text, map_batches, small_batches, texts
 
 #: Classes of code points. SPACE is U+0020 alone; APOS is the apostrophe, otherwise an OTHER.
 OTHER, LETTER, NUMBER, WHITE, SPACE, APOS = range(6)
@@ -248,18 +251,9 @@ def round_trip(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_co
 
 def encode_into(docs: DataFrame, ranks_path: str, text_col: str = "text", ids_col: str = "token_ids") -> DataFrame:
     """docs with one more column, the ids of its text; a column of that name is replaced."""
-    from pyspark.sql import functions as F
-    from pyspark.sql.functions import pandas_udf
-
     @pandas_udf("array<int>")
-    def ids(text):
-        import pandas as pd
-
+    def ids(text: pd.Series) -> pd.Series:
         e = encoder(ranks_path)
         return pd.Series([np.array(e.encode(t or ""), np.int32) for t in text])
 
-    from .common import small_batches
-
     return small_batches(docs).withColumn(ids_col, ids(F.col(text_col)))
-
-

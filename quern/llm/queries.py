@@ -22,6 +22,13 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return draws(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "shard1", "shard2")
 
 
+def op3_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, n_links, component_id, kept of every embedding."""
+    from .lattice import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, the base phrases' counts and places, base_labels, labels and score of every document."""
     from .licenses import licenses
@@ -45,6 +52,15 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_pretokens, n_tokens, score of every document under the public 32k pieces."""
+    import public_tokenizers
+
+    from .tokencount import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, the base counts, base_failed and kept of every document."""
     from .quality import quality
@@ -67,7 +83,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores(docs, learn(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_mixing, op4_licenses, op5_byte_bpe, op6_simhash, op8_quality, op9_personal_data, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_mixing, op3_lattice, op4_licenses, op5_byte_bpe, op6_simhash, op7_token_counts, op8_quality, op9_personal_data, op10_toxicity)}
 
 #: SQL for the queries that SQL can express.
 SQL: dict[str, str] = {}

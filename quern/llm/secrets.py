@@ -20,7 +20,10 @@ import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from .common import id_text, map_batches, small_batches, texts
 
@@ -279,10 +282,6 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]") -> DataFrame:
     """docs with the secrets of its texts replaced by mark; a null text stays null, other columns and all rows stay."""
-    import pandas as pd
-    from pyspark.sql import functions as F
-    from pyspark.sql.functions import pandas_udf
-
     @pandas_udf("string")
     def clean(text: pd.Series) -> pd.Series:
         return text.map(lambda t: redacted(t, mark) if t else t)

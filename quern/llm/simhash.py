@@ -135,3 +135,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     joined = distinct.join(label.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least_id", F.coalesce("label", "fp").alias("label"))
     least = joined.groupBy("label").agg(F.min("least_id").alias("component_id"))
     return prints.join(joined.join(least, "label").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, as they are, that stand for their component: those whose id is the component's smallest.
+
+    Of rows that repeat an id one stays. Rows with a null id, which can't stand for anything, all stay.
+    """
+    found = cut(near_duplicates(docs, id_col, text_col).select("doc_id", "component_id"))
+    stay = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    out = docs.join(stay.select(F.col("doc_id").alias("_stays")), docs[id_col] == F.col("_stays"), "left_semi")
+    if not stay.where("n > 1").isEmpty():
+        out = out.dropDuplicates([id_col])
+    if not found.where("doc_id is null").isEmpty():
+        out = out.union(docs.where(docs[id_col].isNull()))
+    return out
