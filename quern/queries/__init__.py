@@ -1,3 +1,3 @@
 """Queries over the driver's tables; importing this package registers them."""
 
-from . import lexical, search  # noqa: F401
+from . import changelog, lexical, search, telemetry  # noqa: F401
