@@ -191,15 +191,9 @@ def goals(spark):
 SELECT id, max(level)::BIGINT AS level FROM l GROUP BY id""")
 def goal_levels(spark, d):
     """The round in which each goal runs: after all it depends on, in ten rounds at most; goals in or behind a cycle never run."""
-    g = goals(spark)
-    done = g.where(F.size("dependencies") == 0).select("id", F.lit(0).cast("long").alias("level"))
-    for level in range(1, 10):
-        left = g.join(done, "id", "left_anti")
-        met = left.select("id", F.size("dependencies").alias("n"), F.explode("dependencies").alias("dep")).join(done.select(F.col("id").alias("dep")), "dep").groupBy("id", "n").agg(F.count(F.lit(1)).alias("k")).where("k = n").cache()
-        done = done.union(met.select("id", F.lit(level).cast("long").alias("level")))
-        if met.isEmpty():
-            break
-    return done
+    from ..operators.graph import levels
+
+    return levels(goals(spark))
 
 
 @query("""SELECT task_from AS source, task_to AS target, 'dependency' AS type, count(*) AS n FROM (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS b, role AS task_to, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS task_from FROM conversations) WHERE b IS NOT NULL GROUP BY ALL""")
