@@ -1 +1 @@
-
+"""Continuous forms of the telemetry, on Structured Streaming."""
