@@ -27,8 +27,10 @@ def append_log(ops: DataFrame, path: str) -> None:
 
 def read_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """The operations, and the lines that are none."""
-    raw = spark.read.schema(RECORD + ", _bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
-    return raw.where("_bad IS NULL AND seq IS NOT NULL").drop("_bad"), raw.where("_bad IS NOT NULL").select("_bad")
+    read = F.from_json("value", RECORD + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    raw = spark.read.text(path).where("trim(value) <> ''").select("value", read.alias("r"))
+    broken = F.col("r._bad").isNotNull() | F.col("r.seq").isNull()
+    return raw.where(~broken).select("r.*").drop("_bad"), raw.where(broken).select(F.col("value").alias("_bad"))
 
 
 def replay(ops: DataFrame) -> DataFrame:
