@@ -25,6 +25,8 @@ SPREADS = {"word_length": 0.12, "symbols": 0.10, "capitals": 0.10, "marks": 0.08
 SHARE, STEPS, LEAST_GROUP = 0.75, 4, 200
 #: Share of normal vectors that lie within the distance that is still kept.
 KEPT_SHARE = 0.99999
+#: Groups up to which their few hundred bytes each are sent to every task; with more, they are joined by shuffles.
+MOST_SENT = 20_000
 #: A document fails the base rules with fewer words than this, or a larger percentage of repeated ones.
 LEAST_WORDS, MOST_REPEATED = 10, 20
 
@@ -137,6 +139,11 @@ def _sums() -> list[Column]:
     return [F.count(F.lit(1)).alias("n"), F.array(*[F.sum(v) for v in x]).alias("s"), F.array(*[F.sum(x[i] * x[j]) for i in range(_D) for j in range(i, _D)]).alias("ss")]
 
 
+def _sent(groups: DataFrame, n: int) -> DataFrame:
+    """A row for each of n groups, to be joined: broadcast only if n is small, so that a hot group's documents stay where they are."""
+    return F.broadcast(groups) if n <= MOST_SENT else groups
+
+
 def estimates(vectors: DataFrame) -> DataFrame:
     """g, c, p: the robust centre of each group g of vectors(g, x), and the inverse of its scatter, row by row."""
     quartiles = F.array(*[F.percentile_approx(F.col("x")[i], [0.25, 0.5, 0.75], 2000) for i in range(_D)])
@@ -145,10 +152,11 @@ def estimates(vectors: DataFrame) -> DataFrame:
     diagonal = [F.lit(1.0) / (F.pow((F.col("q")[i][2] - F.col("q")[i][0]) / 1.349, F.lit(2)) + F.lit(floor[i])) for i in range(_D)]
     matrix = F.array(*[diagonal[i] if i == j else F.lit(0.0) for i in range(_D) for j in range(_D)])
     params = cut(start.select("g", F.array(*[F.col("q")[i][1] for i in range(_D)]).alias("c"), matrix.alias("p")))
+    n = params.count()
     for _ in range(STEPS):
-        near = vectors.join(params, "g").select("g", "x", _distance().alias("d2"))
+        near = vectors.join(_sent(params, n), "g").select("g", "x", _distance().alias("d2"))
         edge = near.groupBy("g").agg(F.percentile_approx("d2", SHARE, 2000).alias("edge"))
-        params = cut(_params(near.join(edge, "g").where("d2 <= edge").groupBy("g").agg(*_sums())))
+        params = cut(_params(near.join(_sent(edge, n), "g").where("d2 <= edge").groupBy("g").agg(*_sums())))
     return params
 
 
@@ -173,14 +181,15 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     n_lang = n_both.groupBy("lang").agg(F.sum("n_both").alias("n_lang"))
     level = n_both.join(n_lang, "lang").select("both", F.when(F.col("n_both") >= LEAST_GROUP, F.col("both")).when(F.col("n_lang") >= LEAST_GROUP, F.col("lang")).otherwise("*").alias("g"))
     # A group's own documents, and for the pooled groups all documents that belong to what is pooled.
-    own = table.join(level, "both")
     need = cut(level.select("both", "g"))
+    n = need.count()
+    own = table.join(_sent(need, n), "both")
     pooled = need.where("g <> both").select("g").distinct()
     wide = table.join(pooled.where("g <> '*'").withColumnRenamed("g", "lang"), "lang").select(F.col("lang").alias("g"), "x")
     vectors = own.where("g = both").select("g", "x").union(wide)
     if not need.where("g = '*'").isEmpty():
         vectors = vectors.union(table.select(F.lit("*").alias("g"), "x"))
     vectors = cut(vectors)
-    scored = own.join(estimates(vectors), "g", "left").withColumn("distance", _distance())
+    scored = own.join(_sent(estimates(vectors), n), "g", "left").withColumn("distance", _distance())
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     return scored.select("doc_id", *counts, failed.alias("base_failed"), "distance", (~failed & (F.coalesce("distance", F.lit(0.0)) <= CUTOFF)).alias("kept"))
