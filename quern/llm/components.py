@@ -11,9 +11,9 @@ from .common import cut
 def components(edges: DataFrame) -> DataFrame:
     """edges(a, b) as (node, label): label is the smallest node that node reaches.
 
-    Each round every node points to its smallest neighbour or itself, pointers are followed twice, and the edges are
-    rewritten to what their ends point to; those that became loops go. At least the nodes that are not smallest among
-    their neighbours vanish in a round, so few rounds are needed. Only minima are aggregated, which combine before the
+    Each round every node points to its smallest neighbour or itself, pointers are followed to their ends by doubling, and
+    the edges are rewritten to what their ends point to; those that became loops go. Of the nodes that still have edges at
+    most half are left after a round, even along a chain, so few rounds are needed. Only minima are aggregated, which combine before the
     shuffle, so that a node with very many links is no hot spot. Loops, repeated edges and an empty table are fine;
     edges with a null end are left out. Nodes without edges are not in the result.
     """
@@ -22,9 +22,12 @@ def components(edges: DataFrame) -> DataFrame:
     while not edges.isEmpty():
         both = edges.union(edges.select("b", "a"))
         down = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("to"))
-        down = cut(down)
-        far = down.select(F.col("node").alias("to"), F.col("to").alias("to2"))
-        point = cut(down.join(far, "to", "left").select("node", F.coalesce("to2", "to").alias("to")))
+        point, moving = cut(down), True
+        while moving:  # every pointer is followed to its end; each time the ways that are left halve
+            far = point.select(F.col("node").alias("to"), F.col("to").alias("to2"))
+            point = cut(point.select("node", "to").join(far, "to", "left").select("node", F.coalesce("to2", "to").alias("to"), (F.col("to2") != F.col("to")).alias("moved")))
+            moving = not point.where("moved").isEmpty()
+        point = point.select("node", "to")
         if labels is None:
             labels = point.select("node", F.col("to").alias("label"))
         else:
