@@ -20,7 +20,7 @@ HEADLINE = [
     "json_filter_and_or_not", "route_ewma", "route_confidence", "latency_percentiles_all", "jaccard_gate", "changelog_latest_wins", "dedup_stats",
     "delta_stats", "int8_quantize", "evidence_map", "verify_claims", "memory_contradiction", "fk_cascade_delete", "denormalize",
 ]
-RUNS = 2
+RUNS = int(os.environ.get("BENCH_RUNS", "3"))
 
 
 def main() -> None:
