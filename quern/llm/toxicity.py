@@ -25,6 +25,8 @@ BUCKETS, TERMS, FACTORS = 1 << 20, 1024, 8
 TRAIN_ROWS = 20_000
 #: Documents of the sample in which a term must occur, passes over the sample, rows of a step, step size, shrinkage.
 LEAST_DOCS, EPOCHS, STEP_ROWS, RATE, SHRINK = 5, 15, 256, 0.02, 1e-5
+#: Steps at least; documents of the sample for each term kept, so that a small sample keeps few terms.
+LEAST_STEPS, ROWS_A_TERM = 800, 24
 #: Scores from this one on count as toxic.
 THRESHOLD = 0.7
 
@@ -63,22 +65,24 @@ def fit(found: list[np.ndarray], label: np.ndarray) -> Machine:
     bias = float(np.log(base / (1 - base)))
     if not 0 < toxic < n:
         return Machine(slot, bias, np.zeros(0, np.float32), np.zeros((0, FACTORS), np.float32))
-    one, all_ = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    one, all_ = np.zeros(BUCKETS, np.float32), np.zeros(BUCKETS, np.float32)
     for x, y in zip(found, label, strict=True):
         all_[x] += 1
         if y:
             one[x] += 1
+    often = np.flatnonzero(all_ >= LEAST_DOCS)
+    one, all_ = one[often].astype(np.float64), all_[often].astype(np.float64)
     expected = all_ * toxic / n
-    gain = np.where(all_ >= LEAST_DOCS, (one - expected) ** 2 / np.maximum(expected * (1 - toxic / n) * (1 - all_ / (n + 1)), 1e-9), 0)
-    kept = np.sort(np.argsort(-gain, kind="stable")[:TERMS])
-    kept = kept[gain[kept] > 0]
+    gain = (one - expected) ** 2 / np.maximum(expected * (1 - toxic / n) * (1 - all_ / (n + 1)), 1e-9)
+    best = np.argsort(-gain, kind="stable")[: min(TERMS, max(16, n // ROWS_A_TERM))]
+    kept = np.sort(often[best[gain[best] > 0]])
     slot[kept] = np.arange(len(kept))
     rows = [(r := slot[x])[r >= 0] for x in found]
     rng = np.random.default_rng(7)
     k = len(kept)
     params = [np.array([bias], np.float32), np.zeros(k, np.float32), rng.normal(0, 0.01, (k, FACTORS)).astype(np.float32)]
     first, second, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-LEAST_STEPS * STEP_ROWS // n))):
         order = rng.permutation(n)
         for i in range(0, n, STEP_ROWS):
             part = order[i : i + STEP_ROWS]
@@ -115,9 +119,12 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def run(batch):
         return {"doc_id": batch.column("doc_id"), "label": batch.column("label"), "found": [terms(t) for t in texts(batch)]}
 
-    sample = map_batches(rows.join(F.broadcast(ids), "doc_id"), run, "doc_id long, label int, found array<int>").toPandas()
-    sample = sample.sort_values("doc_id", kind="stable").drop_duplicates("doc_id")
-    return fit([np.asarray(x, np.int32) for x in sample.found], sample.label.to_numpy(np.float32))
+    sample = map_batches(rows.join(F.broadcast(ids), "doc_id"), run, "doc_id long, label int, found array<int>").toArrow().combine_chunks()
+    id_, label = sample.column("doc_id").to_numpy(), sample.column("label").to_numpy().astype(np.float32)
+    lists = sample.column("found").combine_chunks()
+    at, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+    order = np.unique(id_, return_index=True)[1]  # by id, repeated ids once
+    return fit([values[at[i] : at[i + 1]] for i in order], label[order])
 
 
 def scores(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
