@@ -96,17 +96,17 @@ def path_cost(path: str, prompt_bytes: Column, tokens: int, complexity: float, a
     if path == "SpeculativeDecode":
         rate = accept_rate if isinstance(accept_rate, Column) else F.lit(accept_rate)
         return exact / (1 + 2 * rate) * multiplier
-    return exact * (1.15 if path == "SpandaSparse" else 1.0) * multiplier
+    return exact * (1.15 if path == "SparseDecode" else 1.0) * multiplier
 
 
 def decide(mode: str, prompt_bytes: Column, has_cache: Column, has_view: Column, accept_rate: Column, sparse_healthy: Column, spec_confidence: Column, sparse_confidence: Column, least_accept: float = 0.6) -> Column:
     """The path taken: policy, then a cached answer, then a restored view, then the cheapest that is trusted."""
     if mode == "exact_only":
         return F.lit("ExactDecode")
-    exact, spec, sparse = (path_cost(p, prompt_bytes, 50, 1.0, accept_rate, has_view) for p in ("ExactDecode", "SpeculativeDecode", "SpandaSparse"))
+    exact, spec, sparse = (path_cost(p, prompt_bytes, 50, 1.0, accept_rate, has_view) for p in ("ExactDecode", "SpeculativeDecode", "SparseDecode"))
     speculative = (accept_rate >= least_accept) & (spec_confidence >= 0.3) & (spec < exact)
-    sparse_may = sparse_healthy & F.lit(mode == "spanda") & (sparse_confidence >= 0.2)
-    chosen = F.when(speculative & ~(sparse_may & (sparse < spec)), "SpeculativeDecode").when(sparse_may, "SpandaSparse").otherwise("ExactDecode")
+    sparse_may = sparse_healthy & F.lit(mode == "sparse") & (sparse_confidence >= 0.2)
+    chosen = F.when(speculative & ~(sparse_may & (sparse < spec)), "SpeculativeDecode").when(sparse_may, "SparseDecode").otherwise("ExactDecode")
     return F.when(has_cache, "CachedAnswer").when(has_view, "ExactDecode").otherwise(chosen)
 
 

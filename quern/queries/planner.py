@@ -20,16 +20,16 @@ _COST = "(CASE WHEN turn % 4 = 0 THEN 0.5::DOUBLE ELSE strlen(text) * 0.15::DOUB
 @query(f"SELECT conv_id, turn, round({_COST}, 6) AS exact, round({_COST} / 2.4::DOUBLE, 6) AS speculative, round({_COST} * 1.15::DOUBLE, 6) AS sparse, 0.5::DOUBLE AS cached FROM conversations WHERE role = 'user'")
 def path_cost(spark, d):
     view, size = F.col("turn") % 4 == 0, F.octet_length("text")
-    cost = {a: P.path_cost(p, size, 50, 1.0, 0.7, view) for a, p in (("exact", "ExactDecode"), ("speculative", "SpeculativeDecode"), ("sparse", "SpandaSparse"), ("cached", "CachedAnswer"))}
+    cost = {a: P.path_cost(p, size, 50, 1.0, 0.7, view) for a, p in (("exact", "ExactDecode"), ("speculative", "SpeculativeDecode"), ("sparse", "SparseDecode"), ("cached", "CachedAnswer"))}
     return _prompts(spark, d).select("conv_id", "turn", *[F.round(c, 6).alias(a) for a, c in cost.items()])
 
 
 @query("""SELECT conv_id, turn, CASE WHEN conv_id % 5 = 0 THEN 'CachedAnswer' WHEN turn % 4 = 0 THEN 'ExactDecode'
-WHEN (conv_id % 10) / 10.0 >= 0.6 AND NOT (conv_id % 2 = 0 AND 1.15 < 1 / (1 + 2 * ((conv_id % 10) / 10.0))) THEN 'SpeculativeDecode' WHEN conv_id % 2 = 0 THEN 'SpandaSparse' ELSE 'ExactDecode' END AS decision FROM conversations WHERE role = 'user'""")
+WHEN (conv_id % 10) / 10.0 >= 0.6 AND NOT (conv_id % 2 = 0 AND 1.15 < 1 / (1 + 2 * ((conv_id % 10) / 10.0))) THEN 'SpeculativeDecode' WHEN conv_id % 2 = 0 THEN 'SparseDecode' ELSE 'ExactDecode' END AS decision FROM conversations WHERE role = 'user'""")
 def planner_decision(spark, d):
     c = F.col("conv_id")
     rate = (c % 10) / F.lit(10.0)
-    made = P.decide("spanda", F.octet_length("text"), c % 5 == 0, F.col("turn") % 4 == 0, rate, c % 2 == 0, F.lit(0.5), F.lit(0.5))
+    made = P.decide("sparse", F.octet_length("text"), c % 5 == 0, F.col("turn") % 4 == 0, rate, c % 2 == 0, F.lit(0.5), F.lit(0.5))
     return _prompts(spark, d).select("conv_id", "turn", made.alias("decision"))
 
 
