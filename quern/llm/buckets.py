@@ -22,7 +22,7 @@ BLOCK = 4096
 
 
 def runs(batches, keys: list[str]) -> Iterator[pa.Table]:
-    """Tables of rows that agree in keys, from batches sorted by them; a run beyond BLOCK rows comes in several tables, all but the last of BLOCK rows at least."""
+    """Tables of rows that agree in keys, from batches sorted by them; a run beyond BLOCK rows comes in several tables, all but the last of BLOCK rows at least. The flag says that a run ends with this table; a run whose tables all have BLOCK rows ends without it."""
     held: list[pa.Table] = []
     last = None
 
@@ -83,12 +83,8 @@ def bucket_pairs(rows: DataFrame, key: str, within: Callable[[pa.Table], dict],
                 yield from put(t.num_rows, _block=pa.array(block, pa.int64()), **{f"_r_{f.name}": t.column(f.name).cast(f.type) for f in row_schema})
 
     def second(batches):
-        held, now = [], None
-        for k, done, t in runs(batches, [key, "_i", "_j"]):
-            held.append(t)
-            if not done:
-                continue
-            t, held = pa.concat_tables(held), []
+        def made_of(k, held):
+            t = pa.concat_tables(held)
             block, plain = t.column("_block").to_numpy(), t.select(names)
             if k[1] == k[2]:
                 found = within(plain) if t.num_rows > 1 else None
@@ -97,6 +93,17 @@ def bucket_pairs(rows: DataFrame, key: str, within: Callable[[pa.Table], dict],
             if found is not None and len(found[made_names[0]]):
                 yield from pa.Table.from_arrays([pa.array(found[n], pa.int64()) for n in made_names], schema=made_schema).to_batches()
 
+        # A group ends where the key changes or the rows end: a run of exactly BLOCK rows has no table that says so.
+        held, now = [], None
+        for k, _, t in runs(batches, [key, "_i", "_j"]):
+            if k != now and held:
+                yield from made_of(now, held)
+                held = []
+            now = k
+            held.append(t)
+        if held:
+            yield from made_of(now, held)
+
     one = cut(rows.repartition(key).sortWithinPartitions(key).mapInArrow(first, flat_sql))
     few = one.where("_block is null").select(*[F.col(f"_m_{n}").alias(n) for n in made_names])
     late = one.where("_block is not null").select("_block", *[F.col(f"_r_{n}").alias(n) for n in names])

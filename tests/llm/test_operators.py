@@ -161,6 +161,41 @@ def test_lattice_points():
         assert (((x - p - r) ** 2).sum(1) >= best - 1e-9).all()
 
 
+def test_bucket_pairs_of_full_blocks(spark):
+    """Every pair once, with BLOCK as it is: buckets just below, at and beyond one and two blocks, in one task and in several."""
+    sizes = {7: 1, 8: 3, 9: buckets.BLOCK - 1, 10: buckets.BLOCK, 11: buckets.BLOCK + 1, 12: 2 * buckets.BLOCK, 13: 2 * buckets.BLOCK + 808, 14: 2}
+    df = spark.createDataFrame([(k, i + 1) for k, n in sizes.items() for i in range(n)], "key long, id long")
+
+    def pairs(s, t):
+        x, y = s.column("id").to_numpy(), t.column("id").to_numpy()
+        own = s is t
+        assert len(set(s.column("key").to_pylist()) | set(t.column("key").to_pylist())) == 1
+        n, total = (len(x) * (len(x) - 1) // 2, (x.sum() ** 2 - (x * x).sum()) // 2) if own else (len(x) * len(y), x.sum() * y.sum())
+        return {"key": [s.column("key")[0].as_py()], "n": [n], "total": [total]}
+
+    want = {k: (n * (n - 1) // 2, sum(range(1, n + 1)) ** 2 - sum(i * i for i in range(1, n + 1)) >> 1) for k, n in sizes.items() if n > 1}
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in ("1", "5"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got = buckets.bucket_pairs(df, "key", lambda t: pairs(t, t), pairs, "key long, n long, total long")
+            assert {r.key: (r.n, r.total) for r in got.groupBy("key").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).collect()} == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+
+
+def test_full_blocks_of_close_prints(spark):
+    """Distinct prints of one bucket, each a bit or two from another: all in one component."""
+    n = 2 * buckets.BLOCK + 100
+    made = [i ^ i >> 1 for i in range(n)]  # neighbours differ in one bit
+    order = list(range(n))
+    random.Random(4).shuffle(order)
+    df = spark.createDataFrame([(1, made[i]) for i in order], "key long, fp long").coalesce(1)
+    edges = buckets.bucket_pairs(df, "key", simhash._within, simhash._across, "a long, b long")
+    at = {v: i for i, v in enumerate(made)}
+    assert set(_graph(n, [(at[r.a], at[r.b]) for r in edges.collect()])) == {0}
+
+
 # ---- 4
 
 
