@@ -2,9 +2,9 @@
 
 A document's text is the first layer. Every layer is scanned; then the encoded parts in it (runs of URL escapes, of Unicode
 and character escapes, base64, and compressed data within base64) are unwrapped into further layers, until no layer gives
-a new one. A layer whose content was seen before in the document is not opened again, so that a layer that unwraps to
-itself ends. Each layer keeps, for each of its characters, where in the text that character came from, so that a span
-found in any layer is given in the text's own code points.
+a new one. Each content is unwrapped once in a document, so that a layer that unwraps to itself ends; what is found in it
+is handed up to every place where it stands, step by step, since each layer knows where in the layer above its characters
+came from. So a span found in any layer is given in the text's own code points.
 """
 
 from __future__ import annotations
@@ -17,7 +17,8 @@ import html
 import lzma
 import re
 import zlib
-from dataclasses import dataclass, field
+from bisect import bisect_right
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -65,19 +66,27 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 @dataclass
 class Layer:
-    """A text, and for each of its characters the start and end, in the document, of what it came from. None: the document itself."""
+    """A text made from the one above, in pieces: where each starts, and whence it came.
+
+    A piece is a whole number, to be added for the places above of characters that were kept, or a pair: the starts and
+    the ends above of its characters (arrays, or one number for all).
+    """
 
     text: str
-    start: np.ndarray | None = None
-    end: np.ndarray | None = None
+    at: list[int]
+    pieces: list
 
-    def span(self, a: int, b: int) -> tuple[int, int]:
-        return (a, b) if self.start is None else (int(self.start[a]), int(self.end[b - 1]))
+    def _place(self, i: int, end: bool) -> int:
+        n = bisect_right(self.at, i) - 1
+        piece = self.pieces[n]
+        if isinstance(piece, int):
+            return i + piece + end
+        x = piece[end]
+        return x if isinstance(x, int) else int(x[i - self.at[n]])
 
-    def places(self, a, b) -> tuple[np.ndarray, np.ndarray]:
-        """Origins of the parts [a, b) of this layer."""
-        a, b = np.asarray(a), np.asarray(b)
-        return (a, b) if self.start is None else (self.start[a], self.end[b - 1])
+    def span(self, a: int, b: int) -> tuple[int, int]:
+        """The part of the text above that [a, b) came from."""
+        return self._place(a, False), self._place(b - 1, True)
 
 
 @dataclass
@@ -86,7 +95,6 @@ class Found:
     base: list[tuple[str, int, int]]
     n_layers: int = 0
     n_cut: int = 0
-    deepest: list[tuple[str, int, int, int]] = field(default_factory=list)
 
 
 def _utf8(parts: list[tuple[bytes, int, int]]) -> tuple[str, np.ndarray, np.ndarray]:
@@ -107,28 +115,25 @@ def _utf8(parts: list[tuple[bytes, int, int]]) -> tuple[str, np.ndarray, np.ndar
     return text, a[last - width], b[last - 1]
 
 
-def _rewritten(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
-    """The layer with every match of the pattern decoded, the rest as it is."""
-    matches = list(pattern.finditer(layer.text))
-    if not matches:
-        return None
-    texts_, starts, ends, at = [], [], [], 0
+def _rewritten(text: str, pattern: re.Pattern, decode) -> Layer | None:
+    """The text with every match of the pattern decoded, the rest as it is."""
+    texts_, at, pieces, size, done = [], [], [], 0, 0
 
-    def keep(a, b):
-        if b > a:
-            i = np.arange(a, b)
-            x, y = layer.places(i, i + 1)
-            texts_.append(layer.text[a:b]), starts.append(x), ends.append(y)
+    def put(part, piece):
+        nonlocal size
+        if part:
+            texts_.append(part), at.append(size), pieces.append(piece)
+            size += len(part)
 
-    for m in matches:
-        keep(at, m.start())
-        text, a, b = decode(m)
-        if text:
-            x, y = layer.places(a, b)
-            texts_.append(text), starts.append(x), ends.append(y)
-        at = m.end()
-    keep(at, len(layer.text))
-    return Layer("".join(texts_), np.concatenate(starts), np.concatenate(ends)) if texts_ else None
+    for m in pattern.finditer(text):
+        put(text[done : m.start()], done - size)
+        part, a, b = decode(m)
+        put(part, (a, b))
+        done = m.end()
+    if not done:
+        return None
+    put(text[done:], done - size)
+    return Layer("".join(texts_), at, pieces) if texts_ else None
 
 
 def _url(m: re.Match):
@@ -140,7 +145,7 @@ def _escape(m: re.Match):
     one = _ONE_ESCAPE.fullmatch(m[0])
     value = int(one[3]) if one[3] else int(one[1] or one[2] or one[4], 16)
     c = html.unescape(m[0]) if one[3] or one[4] else chr(value) if value < 0x110000 and not 0xD800 <= value < 0xE000 else "\ufffd"
-    return c[:1], [m.start()] * len(c[:1]), [m.end()] * len(c[:1])
+    return c[:1], m.start(), m.end()
 
 
 def _opened(data: bytes) -> tuple[bytes, bool] | None:
@@ -173,13 +178,12 @@ def _readable(data: bytes) -> str | None:
     return text if text and 20 * odd <= len(text) else None
 
 
-def _unwrapped(layer: Layer) -> tuple[list[Layer], int]:
+def _unwrapped(text: str) -> tuple[list[Layer], int]:
     """The layers one step below, and how many were cut."""
     out, cut = [], 0
-    text = layer.text
-    if "%" in text and (x := _rewritten(layer, _URL, _url)):
+    if "%" in text and (x := _rewritten(text, _URL, _url)):
         out.append(x)
-    if ("\\" in text or "&#" in text) and (x := _rewritten(layer, _ESCAPE, _escape)):
+    if ("\\" in text or "&#" in text) and (x := _rewritten(text, _ESCAPE, _escape)):
         out.append(x)
     raw = text.encode("utf-8", "surrogatepass")
     for m in _BASE64.finditer(raw):
@@ -196,17 +200,14 @@ def _unwrapped(layer: Layer) -> tuple[list[Layer], int]:
             continue
         first = len(raw[: m.start()].decode("utf-8", "surrogatepass"))
         if inner:
-            a, b = layer.places([first], [first + len(m[0])])
-            n = len(content)
-            out.append(Layer(content, np.repeat(a, n), np.repeat(b, n)))
+            out.append(Layer(content, [0], [(first, first + len(m[0]))]))
             cut += inner[1]
         else:  # four characters for three bytes
             width = np.array([len(c.encode()) for c in content], np.int64)
             last = np.cumsum(width)
             lo = (last - width) * 4 // 3
             hi = np.minimum(-(-last * 4 // 3), len(m[0]))
-            a, b = layer.places(first + lo, first + hi)
-            out.append(Layer(content, a, b))
+            out.append(Layer(content, [0], [(first + lo, first + hi)]))
     return out, cut
 
 
@@ -217,28 +218,33 @@ def scan(text: str) -> Found:
     found = Found(list(base), base)
     if not ("%" in text or "\\" in text or "&#" in text or _BASE64.search(text.encode("utf-8", "surrogatepass"))):
         return found
-    seen = {hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()}
-    work, spans = [(Layer(text), 0)], set(base)
+    # The distinct contents: spans of each, and the layers by which it stands in others.
+    number = {hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest(): 0}
+    spans: list[set] = [set(base)]
+    above: list[list[tuple[int, Layer]]] = [[]]
+    work = [(0, text)]
     while work:
-        layer, depth = work.pop()
-        below, cut = _unwrapped(layer)
+        i, content = work.pop()
+        below, cut = _unwrapped(content)
         found.n_cut += cut
         for x in below:
-            if (key := hashlib.sha256(x.text.encode("utf-8", "surrogatepass")).digest()) in seen:
-                # The same content elsewhere in the text: its findings count there too, though it isn't unwrapped again.
-                again = False
-            else:
-                seen.add(key)
-                again = True
-                found.n_layers += 1
-            for kind, a, b in base_spans(x.text):
-                s = (kind, *x.span(a, b))
-                if s not in spans:
-                    spans.add(s)
-                    found.deepest.append((*s, depth + 1))
-            if again:
-                work.append((x, depth + 1))
-    found.spans = sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
+            content, x.text = x.text, ""
+            j = number.setdefault(hashlib.sha256(content.encode("utf-8", "surrogatepass")).digest(), len(spans))
+            if j == len(spans):
+                spans.append(set(base_spans(content)))
+                above.append([])
+                work.append((j, content))
+            above[j].append((i, x))
+    found.n_layers = len(spans) - 1
+    new = [(j, s) for j in range(1, len(spans)) for s in spans[j]]
+    while new:
+        j, (kind, a, b) = new.pop()
+        for i, x in above[j]:
+            s = (kind, *x.span(a, b))
+            if s not in spans[i]:
+                spans[i].add(s)
+                new.append((i, s))
+    found.spans = sorted(spans[0], key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
     return found
 
 

@@ -68,6 +68,24 @@ def test_secrets_end_on_cycles_and_junk():
         secrets.scan(text)
 
 
+@pytest.mark.parametrize("wrap", [
+    lambda x: base64.b64encode(base64.b64encode(x)),
+    lambda x: base64.b64encode(urllib.parse.quote(x.decode(), safe="").encode()),
+    lambda x: base64.b64encode(gzip.compress(base64.b64encode(x), mtime=0)),
+    lambda x: base64.b64encode(base64.b64encode(base64.b64encode(x))),
+])
+def test_secrets_wherever_a_blob_stands(wrap):
+    w = wrap(b"password=hunter2secret").decode()
+    text = f"é {w} then {w}\nand {w}"
+    places = [m.span() for m in re.finditer(re.escape(w), text)]
+    assert len(places) == 3
+    for a, b in places:
+        assert any(k == "assign" and a <= x < y <= b for k, x, y in secrets.scan(text).spans)
+    clean = secrets.redacted(text)
+    assert clean.count("[secret]") == 3
+    assert not any(k == "assign" for k, _, _ in secrets.scan(clean).spans)
+
+
 def test_secrets_rows(odd_docs):
     got = rows(secrets.secrets(odd_docs))
     assert len(got) == 10
