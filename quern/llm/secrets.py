@@ -12,12 +12,15 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import codecs
 import hashlib
 import html
+import itertools
 import lzma
 import re
 import zlib
 from bisect import bisect_right
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,8 +33,10 @@ from .common import id_text, map_batches, small_batches, texts
 
 #: Kinds in the order in which they are listed.
 KINDS = ("assign", "access", "hex")
-#: Bytes of a compressed layer that are opened; a longer one is opened this far and counted in n_cut.
-MOST_OPENED = 16 << 20
+#: Bytes of a compressed layer that are held at once; a longer one is read to its end in windows of so many characters, that overlap.
+MOST_HELD, WINDOW = 16 << 20, 8 << 20
+#: Bytes that a decompressor gives at a time; steps of compression within a layer that can't be held, and of such layers within each other.
+CHUNK, MOST_NESTED = 1 << 20, 32
 
 _ASSIGN = re.compile(rb"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([a-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]{16,}")
@@ -39,6 +44,13 @@ _HEX = re.compile(rb"[0-9a-f]{24,}")
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)")
 _BASE64 = re.compile(rb"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Runs in which bytes may be written with escapes, plain characters between them, and the heads of compressed data in them.
+_URL_RUN = re.compile(r"[A-Za-z0-9_.~!*'()/+$,;:@&=?-]*(?:%[0-9A-Fa-f]{2}[A-Za-z0-9_.~!*'()/+$,;:@&=?-]*)+")
+_ONE_URL = re.compile(r"%([0-9A-Fa-f]{2})|.", re.S)
+_ESCAPE_RUN = re.compile(r"(?:BZh[1-9]1AY&SY[ -~]{0,16}?|x)?(?:\\x|\\u00)[0-9A-Fa-f]{2}[ -~]*")
+_ONE_BYTE = re.compile(r"""\\x([0-9A-Fa-f]{2})|\\u00([0-9A-Fa-f]{2})|\\([abfnrtv0\\'"])|.""", re.S)
+_C_ESCAPES = dict(zip("abfnrtv0\\'\"", b"\a\b\f\n\r\t\v\0\\'\"", strict=True))
+_COMPRESSED = re.compile(rb"\x1f\x8b\x08|BZh[1-9]1AY&SY|\xfd7zXZ\x00|x[\x01\x5e\x9c\xda]")
 _ONE_ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]+)\}|\\[uUx]([0-9A-Fa-f]+)|&#([0-9]+);|&#[xX]([0-9A-Fa-f]+);")
 
 
@@ -148,24 +160,129 @@ def _escape(m: re.Match):
     return c[:1], m.start(), m.end()
 
 
-def _opened(data: bytes) -> tuple[bytes, bool] | None:
-    """What compressed data holds, and whether it was cut at MOST_OPENED; None if it is not compressed."""
-    tries = []
-    if data[:2] == b"\x1f\x8b" or len(data) > 2 and data[0] & 15 == 8 and (data[0] << 8 | data[1]) % 31 == 0:
-        tries.append(lambda: zlib.decompressobj(47))
-    if data[:3] == b"BZh":
-        tries.append(bz2.BZ2Decompressor)
-    if data[:6] == b"\xfd7zXZ\x00":
-        tries.append(lzma.LZMADecompressor)
-    for make in tries:
+def _opener(head: bytes):
+    """What makes a decompressor for data that begins with head, or None."""
+    if head[:2] == b"\x1f\x8b":
+        return lambda: zlib.decompressobj(31)
+    if len(head) > 2 and head[0] & 15 == 8 and (head[0] << 8 | head[1]) % 31 == 0:
+        return zlib.decompressobj
+    if head[:3] == b"BZh":
+        return bz2.BZ2Decompressor
+    if head[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor
+    return None
+
+
+def _inflated(chunks: Iterator[bytes], left: list[bytes]) -> Iterator[bytes]:
+    """What the compressed members at the head of the chunks hold, a little at a time; what follows them goes to left.
+
+    Data that breaks off or is damaged gives what could be read.
+    """
+    data, members = b"", 0
+    while True:
+        while len(data) < 8 and (more := next(chunks, None)) is not None:
+            data = (data + more).lstrip(b"\0") if members else data + more  # zeros may stand between members
+        make = _opener(data)
+        if make is None:
+            if data:
+                left.append(data)
+            return
+        d = make()
         try:
-            d = make()
-            out = d.decompress(data, MOST_OPENED)
-            if out:
-                return out, not d.eof and len(out) >= MOST_OPENED
+            while not d.eof:
+                out = d.decompress(data, CHUNK)
+                data = getattr(d, "unconsumed_tail", b"")
+                if out:
+                    yield out
+                elif not data and not d.eof and getattr(d, "needs_input", True):
+                    data = next(chunks, None)
+                    if data is None:
+                        return
         except (zlib.error, OSError, ValueError, EOFError, lzma.LZMAError):
-            pass
-    return None
+            return
+        data, members = d.unused_data.lstrip(b"\0"), members + 1
+
+
+def _end(data: bytes, a: int) -> int:
+    """Where the compressed members that start at a end; a if nothing can be read there."""
+    at, left, size = a, [], 0
+
+    def chunks():
+        nonlocal at
+        while at < len(data):
+            chunk = data[at : at + 65536]
+            at += len(chunk)
+            yield chunk
+
+    for out in _inflated(chunks(), left):
+        size += len(out)
+    return at - sum(map(len, left)) if size else a
+
+
+def _windows(chunks: Iterator[bytes]) -> Iterator[tuple[str, bool]]:
+    """Texts of about WINDOW characters that overlap by half, and whether a run without a gap may be longer than what they share."""
+    decoder, held = codecs.getincrementaldecoder("utf-8")("replace"), ""
+    for chunk in chunks:
+        held += decoder.decode(chunk)
+        if len(held) >= WINDOW:
+            # The next one starts half a window back, at the last gap before that: only a run of a quarter at least is cut.
+            half = len(held) // 2
+            gap = max(held.rfind(" ", half // 2, half), held.rfind("\n", half // 2, half))
+            yield held, gap < 0 or not any(c in held[half:] for c in " \n")
+            held = held[half if gap < 0 else gap :]
+    held += decoder.decode(b"", True)
+    if held:
+        yield held, False
+
+
+def _opened(data: bytes) -> Iterator[tuple[str, bool, bool]]:
+    """The texts in compressed data, opened until nothing compressed is left: text, whether it is a part of a long one, whether a bound cut it."""
+    work, seen = [data], set()
+    while work:
+        data = work.pop()
+        key = hashlib.sha256(data).digest()
+        if key in seen:
+            continue
+        seen.add(key)
+        if len(seen) > 1 and (text := _readable(data)):
+            yield text, False, False
+        if _opener(data) is None:
+            continue
+        parts, size, left = [], 0, []
+        stream = _inflated(iter([data]), left)
+        for out in stream:
+            parts.append(out)
+            size += len(out)
+            if size > MOST_HELD:
+                break
+        if size <= MOST_HELD:
+            work += [x for x in (b"".join(parts), *left) if x]
+            continue
+        # Too long to be held: compressed data in it is opened as it streams by.
+        lefts, depth = [left], 0
+        flow = itertools.chain(parts, stream)
+        while True:
+            head = list(itertools.islice(flow, 1))
+            flow = itertools.chain(head, flow)
+            if not head or _opener(head[0][:8]) is None or depth == MOST_NESTED:
+                break
+            lefts.append([])
+            flow, depth = _inflated(flow, lefts[-1]), depth + 1
+        if depth == MOST_NESTED:
+            yield "", True, True
+        for text, whole in _windows(flow):
+            if _mostly(text):
+                yield text, True, whole
+        for n, left in enumerate(lefts):
+            work += left
+            if n and left:  # only the start of what follows members in a stream is held
+                yield "", True, True
+
+
+def _mostly(text: str) -> bool:
+    """Whether nearly all of a text is printable."""
+    odd = sum(text.count(c) for c in map(chr, [*range(9), 11, 12, *range(14, 32), 127, 0xFFFD]))
+    return bool(text) and 20 * odd <= len(text)
 
 
 def _readable(data: bytes) -> str | None:
@@ -178,13 +295,66 @@ def _readable(data: bytes) -> str | None:
     return text if text and 20 * odd <= len(text) else None
 
 
-def _unwrapped(text: str) -> tuple[list[Layer], int]:
-    """The layers one step below, and how many were cut."""
-    out, cut = [], 0
+def _escaped_bytes(m: re.Match) -> tuple[bytes, list[int]]:
+    """The bytes of a run of escapes and plain characters, and where each starts, with the end."""
+    out, at = bytearray(), []
+    for x in _ONE_BYTE.finditer(m[0]):
+        out.append(int(x[1] or x[2], 16) if x[1] or x[2] else _C_ESCAPES[x[3]] if x[3] else ord(x[0]))
+        at.append(m.start() + x.start())
+    return bytes(out), [*at, m.end()]
+
+
+def _url_bytes(m: re.Match) -> tuple[bytes, list[int]]:
+    out, at = bytearray(), []
+    for x in _ONE_URL.finditer(m[0]):
+        out.append(int(x[1], 16) if x[1] else ord(x[0]))
+        at.append(m.start() + x.start())
+    return bytes(out), [*at, m.end()]
+
+
+@dataclass
+class Below:
+    """What a text wraps: layers; kinds of secrets with their parts of the text, from layers too long to be held; how many layers those are and hold; how many were cut."""
+
+    layers: list[Layer]
+    spans: set
+    n_long: int = 0
+    n_cut: int = 0
+
+    def open(self, data: bytes, a: int, b: int, depth: int) -> bool:
+        """Puts in what compressed data that stands at [a, b) holds; False without any."""
+        any_ = long = False
+        for text, part, cut in _opened(data):
+            any_ = True
+            self.n_cut += cut
+            if not part:
+                self.layers.append(Layer(text, [0], [(a, b)]))
+            elif text and depth == MOST_NESTED:
+                self.n_cut += 1
+            elif text:
+                inside = scan(text, depth + 1)
+                self.spans |= {(kind, a, b) for kind, _, _ in inside.spans}
+                self.n_long += inside.n_layers + (not long)
+                self.n_cut += inside.n_cut
+                long = True
+        return any_
+
+
+def _unwrapped(text: str, depth: int) -> Below:
+    """The layers one step below. depth: how many long layers the text is in."""
+    out = Below([], set())
     if "%" in text and (x := _rewritten(text, _URL, _url)):
-        out.append(x)
+        out.layers.append(x)
     if ("\\" in text or "&#" in text) and (x := _rewritten(text, _ESCAPE, _escape)):
-        out.append(x)
+        out.layers.append(x)
+    for sign, run, decode in (("%", _URL_RUN, _url_bytes), ("\\", _ESCAPE_RUN, _escaped_bytes)):
+        if sign in text:
+            for m in run.finditer(text):
+                data, at = decode(m)
+                done = 0
+                for head in _COMPRESSED.finditer(data):
+                    if (a := head.start()) >= done and (b := _end(data, a)) > a:
+                        done = b if out.open(data[a:b], at[a], at[b], depth) else done
     raw = text.encode("utf-8", "surrogatepass")
     for m in _BASE64.finditer(raw):
         body = m[0].rstrip(b"=")
@@ -194,25 +364,23 @@ def _unwrapped(text: str) -> tuple[list[Layer], int]:
             data = base64.b64decode(body.translate(bytes.maketrans(b"-_", b"+/")) + b"=" * (-len(body) % 4))
         except (binascii.Error, ValueError):
             continue
-        inner = _opened(data)
-        content = _readable(inner[0] if inner else data)
-        if content is None:
+        opener, content = _opener(data), _readable(data)
+        if opener is None and content is None:
             continue
         first = len(raw[: m.start()].decode("utf-8", "surrogatepass"))
-        if inner:
-            out.append(Layer(content, [0], [(first, first + len(m[0]))]))
-            cut += inner[1]
-        else:  # four characters for three bytes
-            width = np.array([len(c.encode()) for c in content], np.int64)
-            last = np.cumsum(width)
-            lo = (last - width) * 4 // 3
-            hi = np.minimum(-(-last * 4 // 3), len(m[0]))
-            out.append(Layer(content, [0], [(first + lo, first + hi)]))
-    return out, cut
-
-
-def scan(text: str) -> Found:
-    """Every secret in a text and in what it wraps. Spans are of the text; a span found twice counts once."""
+        if opener is not None and out.open(data, first, first + len(m[0]), depth) or content is None:
+            continue
+        # four characters for three bytes
+        width = np.array([len(c.encode()) for c in content], np.int64)
+        last = np.cumsum(width)
+        lo = (last - width) * 4 // 3
+        hi = np.minimum(-(-last * 4 // 3), len(m[0]))
+        out.layers.append(Layer(content, [0], [(first + lo, first + hi)]))
+    return out
+
+
+def scan(text: str, depth: int = 0) -> Found:
+    """Every secret in a text and in what it wraps. Spans are of the text; a span found twice counts once. depth: how many long layers it is in."""
     base = base_spans(text)
     base.sort(key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
     found = Found(list(base), base)
@@ -225,9 +393,11 @@ def scan(text: str) -> Found:
     work = [(0, text)]
     while work:
         i, content = work.pop()
-        below, cut = _unwrapped(content)
-        found.n_cut += cut
-        for x in below:
+        below = _unwrapped(content, depth)
+        found.n_cut += below.n_cut
+        found.n_layers += below.n_long
+        spans[i] |= below.spans
+        for x in below.layers:
             content, x.text = x.text, ""
             j = number.setdefault(hashlib.sha256(content.encode("utf-8", "surrogatepass")).digest(), len(spans))
             if j == len(spans):
@@ -235,7 +405,7 @@ def scan(text: str) -> Found:
                 above.append([])
                 work.append((j, content))
             above[j].append((i, x))
-    found.n_layers = len(spans) - 1
+    found.n_layers += len(spans) - 1
     new = [(j, s) for j in range(1, len(spans)) for s in spans[j]]
     while new:
         j, (kind, a, b) = new.pop()

@@ -1,9 +1,11 @@
 """Each operator against a plain version in memory, and on odd rows."""
 
 import base64
+import bz2
 import gzip
 import hashlib
 import itertools
+import lzma
 import random
 import re
 import urllib.parse
@@ -86,6 +88,32 @@ def test_secrets_wherever_a_blob_stands(wrap):
     assert not any(k == "assign" for k, _, _ in secrets.scan(clean).spans)
 
 
+SECRET = b"the password=hunter2secret of it"
+B64 = lambda x: base64.b64encode(x).decode()
+
+
+@pytest.mark.parametrize("wrapped", [
+    B64(gzip.compress(gzip.compress(SECRET))),
+    B64(gzip.compress(bz2.compress(SECRET))),
+    B64(gzip.compress(lzma.compress(zlib.compress(SECRET)))),
+    B64(gzip.compress(b"nothing here ") + gzip.compress(SECRET)),
+    B64(gzip.compress(b"") + b"\0" * 9 + gzip.compress(SECRET)),
+    B64(bz2.compress(b"nothing here ") + bz2.compress(SECRET)),
+    B64(lzma.compress(b"nothing here ") + lzma.compress(SECRET)),
+    B64(gzip.compress(b"nothing here ") + bz2.compress(SECRET)),
+    "".join(f"%{c:02x}" for c in gzip.compress(SECRET)),
+    urllib.parse.quote(zlib.compress(SECRET)),
+    urllib.parse.quote(gzip.compress(gzip.compress(SECRET))),
+    "".join(f"\\x{c:02x}" for c in gzip.compress(SECRET)),
+    repr(bz2.compress(SECRET)),
+    repr(gzip.compress(SECRET)),
+])
+def test_secrets_in_compressed_layers(wrapped):
+    text = f"é x: {wrapped} end"
+    assert any(k == "assign" and 5 <= a < b <= 5 + len(wrapped) for k, a, b in secrets.scan(text).spans)
+    assert not any(k == "assign" for k, _, _ in secrets.scan(secrets.redacted(text)).spans)
+
+
 def test_secrets_rows(odd_docs):
     got = rows(secrets.secrets(odd_docs))
     assert len(got) == 10
