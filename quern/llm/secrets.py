@@ -10,7 +10,6 @@ came from. So a span found in any layer is given in the text's own code points.
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import codecs
 import hashlib
@@ -51,6 +50,12 @@ _ESCAPE_RUN = re.compile(r"(?:BZh[1-9]1AY&SY[ -~]{0,16}?|x)?(?:\\x|\\u00)[0-9A-F
 _ONE_BYTE = re.compile(r"""\\x([0-9A-Fa-f]{2})|\\u00([0-9A-Fa-f]{2})|\\([abfnrtv0\\'"])|.""", re.S)
 _C_ESCAPES = dict(zip("abfnrtv0\\'\"", b"\a\b\f\n\r\t\v\0\\'\"", strict=True))
 _COMPRESSED = re.compile(rb"\x1f\x8b\x08|BZh[1-9]1AY&SY|\xfd7zXZ\x00|x[\x01\x5e\x9c\xda]")
+#: Base64 wrapped over lines, whose line ends may be escaped themselves and whose lines may be indented or quoted.
+_WRAPPED = re.compile(rb"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:(?:\r?\n|(?:\\r)?\\n)[ \t>]*+[A-Za-z0-9+/_-]++)+={0,2}")
+_LINE_END = re.compile(rb"(?:\r?\n|(?:\\r)?\\n)[ \t>]*")
+_STANDARD = bytes.maketrans(b"-_", b"+/")
+#: UTF-8 that can be read, in bytes that can't as a whole.
+_TEXT = re.compile(rb"(?:[\t\n\r\x20-\x7e]|[\xc3-\xdf][\x80-\xbf]|[\xe1-\xec][\x80-\xbf]{2}){8,}")
 _ONE_ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]+)\}|\\[uUx]([0-9A-Fa-f]+)|&#([0-9]+);|&#[xX]([0-9A-Fa-f]+);")
 
 
@@ -356,29 +361,67 @@ def _unwrapped(text: str, depth: int) -> Below:
                     if (a := head.start()) >= done and (b := _end(data, a)) > a:
                         done = b if out.open(data[a:b], at[a], at[b], depth) else done
     raw = text.encode("utf-8", "surrogatepass")
-    for m in _BASE64.finditer(raw):
-        body = m[0].rstrip(b"=")
-        if len(body) % 4 == 1:
-            body = body[:-1]
-        try:
-            data = base64.b64decode(body.translate(bytes.maketrans(b"-_", b"+/")) + b"=" * (-len(body) % 4))
-        except (binascii.Error, ValueError):
-            continue
-        opener, content = _opener(data), _readable(data)
-        if opener is None and content is None:
-            continue
-        first = len(raw[: m.start()].decode("utf-8", "surrogatepass"))
-        if opener is not None and out.open(data, first, first + len(m[0]), depth) or content is None:
-            continue
-        # four characters for three bytes
-        width = np.array([len(c.encode()) for c in content], np.int64)
-        last = np.cumsum(width)
-        lo = (last - width) * 4 // 3
-        hi = np.minimum(-(-last * 4 // 3), len(m[0]))
-        out.layers.append(Layer(content, [0], [(first + lo, first + hi)]))
+    for m, first in _placed(_BASE64, raw, len(raw) == len(text)):
+        _decoded(m[0], None, first, out, depth)
+    for m, first in _placed(_WRAPPED, raw, len(raw) == len(text)):
+        run = np.frombuffer(m[0], np.uint8)
+        own = np.ones(len(run), bool)
+        for gap in _LINE_END.finditer(m[0]):
+            own[gap.start() : gap.end()] = False
+        at = np.flatnonzero(own)
+        _decoded(run[at].tobytes(), at, first, out, depth)
     return out
 
 
+def _placed(pattern: re.Pattern, raw: bytes, ascii_: bool) -> Iterator[tuple[re.Match, int]]:
+    """Matches, and the code points before each."""
+    before = total = 0
+    for m in pattern.finditer(raw):
+        total += m.start() - before if ascii_ else len(raw[before : m.start()].decode("utf-8", "surrogatepass"))
+        before = m.start()
+        yield m, total
+
+
+def _decoded(run: bytes, at: np.ndarray | None, first: int, out: Below, depth: int) -> None:
+    """Puts in what a run of base64 holds. at: where its characters stand after first; None if one after another.
+
+    If the run doesn't decode as a whole, all that can be read in it is taken, from any character on.
+    """
+    body = run.rstrip(b"=").translate(_STANDARD)
+    place = (lambda i: i) if at is None else (lambda i: at[i])
+
+    def part(content, lo, hi):
+        """content, whose characters came from the bytes [lo, hi) of the decoded; four characters for three bytes."""
+        a, b = skip + lo * 4 // 3, np.minimum(skip + -(-hi * 4 // 3), len(run))
+        out.layers.append(Layer(content, [0], [(first + place(a), first + place(b - 1) + 1)]))
+
+    def characters(content, before):
+        width = np.array([len(c.encode()) for c in content], np.int64)
+        last = before + np.cumsum(width)
+        part(content, last - width, last)
+
+    for skip in range(4):
+        n = len(body) - skip
+        n -= n % 4 == 1
+        if n < 2:
+            return
+        data = base64.b64decode(body[skip : skip + n] + b"=" * (-n % 4))
+        if not skip:
+            end = len(run) if at is None else int(at[-1]) + 1
+            if _opener(data) is not None and out.open(data, first, first + end, depth):
+                return
+            if (content := _readable(data)) is not None:
+                characters(content, 0)
+                return
+        done = 0
+        for head in _COMPRESSED.finditer(data):
+            if (a := head.start()) >= done and (b := _end(data, a)) > a:
+                x, y = skip + a * 4 // 3, min(skip + -(-b * 4 // 3), len(run))
+                done = b if out.open(data[a:b], first + int(place(x)), first + int(place(y - 1)) + 1, depth) else done
+        for m in _TEXT.finditer(data):
+            characters(m[0].decode("utf-8"), m.start())
+
+
 def scan(text: str, depth: int = 0) -> Found:
     """Every secret in a text and in what it wraps. Spans are of the text; a span found twice counts once. depth: how many long layers it is in."""
     base = base_spans(text)

@@ -114,6 +114,38 @@ def test_secrets_in_compressed_layers(wrapped):
     assert not any(k == "assign" for k, _, _ in secrets.scan(secrets.redacted(text)).spans)
 
 
+def _lines(x, n, end="\n"):
+    return end.join(x[i : i + n] for i in range(0, len(x), n))
+
+
+LONG = b"Some words that come before it, and more of them. " + SECRET + b", then yet some more words of no weight at all."
+
+
+@pytest.mark.parametrize("wrapped", [
+    *[_lines(B64(LONG), n, end) for n in (20, 64, 76) for end in ("\n", "\r\n", "\n    ", "\\n", "\n> ")],
+    _lines(B64(gzip.compress(LONG)), 64),
+    _lines(B64(bz2.compress(LONG)), 76, "\r\n"),
+    *[prefix + B64(LONG) for prefix in ("/path/", "/pat/", "id_", "i_", "a-b-", "x/yz/", "abc", "ab", "a")],
+    *["id_" + base64.urlsafe_b64encode(x(SECRET)).decode() for x in (gzip.compress, bz2.compress, lzma.compress, zlib.compress)],
+    "/path/" + _lines(B64(LONG), 64),
+    B64(LONG).rstrip("=") + "/tail-of-a-path",
+])
+def test_secrets_in_wrapped_and_shifted_base64(wrapped):
+    text = f"é x: {wrapped}\n\nend"
+    f = secrets.scan(text)
+    assert any(k == "assign" and 5 <= a < b <= 5 + len(wrapped) for k, a, b in f.spans)
+    assert not any(k == "assign" for k, _, _ in secrets.scan(secrets.redacted(text)).spans)
+
+
+def test_places_in_wrapped_base64():
+    w = _lines(B64(b"0123456789 abcdefghij " * 2 + b"password=hunter2secret; " + b"abcdefghij " * 4), 40)
+    kind, a, b = max(secrets.scan(w).spans, key=lambda s: s[2] - s[1])
+    whole = w[a:b].replace("\n", "")
+    before = len(w[:a].replace("\n", ""))
+    assert kind == "assign" and b"password=hunter2secret" in base64.b64decode("A" * (before % 4) + whole + "A" * (-(before + len(whole)) % 4))
+    assert len(whole) <= 4 * 24 // 3
+
+
 def test_secrets_rows(odd_docs):
     got = rows(secrets.secrets(odd_docs))
     assert len(got) == 10
