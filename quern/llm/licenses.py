@@ -113,7 +113,7 @@ def _alternatives(pattern: str) -> list[str]:
 
 
 #: Words one of which any text with a license has: the first gate, before the rules' own keywords.
-GATE = ("licen", "copyright", "spdx", "cc by", "cc0", "gpl", "creative commons", "public domain", "redistribut", "rights reserved", "permission", "mozilla", "eclipse", "unencumbered", "proprietary", "wtfpl", "eupl", "odbl", "software", "asl ", "epl ", "cddl", "sspl", "busl", "mplv", " mpl", "remotely through", "bsd", "licensee", "artistic control", "reciprocal", "source form", "versions must be plainly", "what the fuck")
+GATE = ("licen", "copyright", "spdx", "cc by", "cc0", "gpl", "creative commons", "public domain", "redistribut", "rights reserved", "permission", "mozilla", "eclipse", "unencumbered", "proprietary", "wtfpl", "eupl", "odbl", "software", "asl ", "epl ", "cddl", "sspl", "busl", "mplv", " mpl", "remotely through", "bsd", "licensee", "artistic control", "reciprocal", "source form", "versions must be plainly", "what the fuck", "cc zero", "university of california", "unauthorized copying", " asl", " epl")
 
 
 def _places(norm: Column, pattern: Column) -> Column:

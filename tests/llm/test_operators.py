@@ -314,6 +314,45 @@ def test_license_rules(spark):
         assert 0 <= r.score <= 1 and (r.score > 0) == bool(r.labels)
 
 
+def _examples(parsed):
+    """Strings that a parsed pattern matches: every alternative, optional parts both left out and there, one of a set."""
+    out = [""]
+    for op, x in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            more = [chr(x)]
+        elif name == "IN":
+            more = [next(chr(c if str(o) == "LITERAL" else c[0]) for o, c in x if str(o) in ("LITERAL", "RANGE"))]
+        elif name == "BRANCH":
+            more = [e for p in x[1] for e in _examples(p)]
+        elif name == "SUBPATTERN":
+            more = _examples(x[3])
+        elif name == "MAX_REPEAT":
+            more = ["", *_examples(x[2])] if x[0] == 0 else _examples(x[2])
+        else:
+            raise ValueError(name)
+        out = [a + b for a in out for b in more]
+    return out
+
+
+def test_license_gate():
+    from re import _parser
+
+    missed = {e for k, p, label, r in licenses.rules() for e in _examples(_parser.parse(r)) if not any(w in f" {e} " for w in licenses.GATE)}
+    assert not missed
+    # The examples are what the rules match, and the rules' own keywords stand in them.
+    for k, p, label, r in licenses.rules():
+        for e in _examples(_parser.parse(r)):
+            assert re.fullmatch(r, e) and k in f" {e} "
+
+
+def test_licenses_alone(spark):
+    rows_ = [(1, "Released under CC Zero", "cc0"), (2, "in no event shall the University of California be liable to any party", "postgresql"), (3, "Unauthorized copying of this file, via any medium, is strictly prohibited", "proprietary"), (4, "nothing of the sort", "")]
+    got = {r.doc_id: r for r in licenses.licenses(spark.createDataFrame([r[:2] for r in rows_], "doc_id long, text string")).collect()}
+    for i, _, label in rows_:
+        assert got[i].labels == label and (got[i].score > 0) == bool(label)
+
+
 # ---- 5
 
 
