@@ -3,7 +3,7 @@
 The field scores whole candidate spans (their shape, digits, checksums, what stands beside them, words before them), and
 dynamic programming over segments of at most MOST_TOKENS tokens chooses boundaries and types together. It is fitted here, on
 sentences made from templates by a fixed seed, which hold entities in many forms and numbers that are none. A text is
-decoded only around digits and addresses; elsewhere no span can be an entity, so nothing is lost.
+decoded only around digits and addresses, spelt out or not; elsewhere no span can be an entity, so nothing is lost.
 """
 
 from __future__ import annotations
@@ -81,6 +81,8 @@ _TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|\s+|.", re.S)
 _AT = r"(?:@|\s?[\[({]\s?at\s?[\])}]\s?|\sat\s)"
 _DOT = r"(?:\.|\s?[\[({]\s?dot\s?[\])}]\s?|\sdot\s)"
 _MAIL_FORM = re.compile(rf"[A-Za-z0-9%+-]+(?:[._][A-Za-z0-9%+-]+)*{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+", re.I)
+#: What an address that is spelt out has: 'dot' or an 'at' in brackets; a plain ' at ' needs a ' dot ' before its ending.
+_SPELT = re.compile(r"[\[({]\s?(?:at|dot)\s?[\])}]|\sdot\s", re.I)
 _NUMBER_FORM = re.compile(r"[+(]?[0-9](?:[\s().\-/]*[0-9])*")
 #: A stretch of chunks with a digit or an @, or of an address that is spelt out.
 _STRETCH = re.compile(rf"[^\s]*[0-9@][^\s]*(?:[  ][^\s]*[0-9@][^\s]*)*|(?<!\S)\S{{1,64}}{_AT}\S{{1,255}}?(?:{_DOT}[A-Za-z0-9-]{{1,63}})+", re.I)
@@ -336,7 +338,7 @@ def field() -> Field:
 
 def stretches(text: str) -> list[tuple[int, int]]:
     """Parts of a text in which entities may be: those with an @, with 4 digits at least, or an address spelt out."""
-    pattern = _STRETCH if "dot" in text or "DOT" in text or "[at" in text or "(at" in text else _SIMPLE
+    pattern = _STRETCH if _SPELT.search(text) else _SIMPLE
     return [m.span() for m in pattern.finditer(text) if "@" in m[0] or sum(map(str.isdigit, m[0])) >= 4 or not any(map(str.isdigit, m[0]))]
 
 
@@ -356,7 +358,7 @@ def added_spans(text: str, base: list[tuple[str, int, int]], model: Field) -> li
 def scan(text: str, model: Field) -> tuple[list, list]:
     """(base spans, all spans), each by kind, then start."""
     base = base_spans(text)
-    more = added_spans(text, base, model) if any(c in text for c in "@0123456789") or "dot" in text.lower() else []
+    more = added_spans(text, base, model) if any(c in text for c in "@0123456789") or _SPELT.search(text) else []
     return base, sorted(base + more, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 
 

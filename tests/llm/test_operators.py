@@ -556,6 +556,13 @@ def test_pii_rows(odd_docs):
     assert pii.personal_data(odd_docs.where("false")).count() == 0
 
 
+def test_spelt_addresses_without_digits():
+    model = pii.field()
+    for form in ("jane [at] example.com", "jane [AT] example.com", "jane (At) example.org", "jane {at} example.com", "jane [ at ] example.com", "jane at example Dot com", "jane at example DOT com", "jane at example dot com", "jane [at] example [Dot] com"):
+        for text in (f"Please email {form} or ask again.", f"Please email {form} or ask again, 7 times."):
+            assert [text[a:b] for k, a, b in pii.scan(text, model)[1] if k == "email"] == [form], text
+
+
 # ---- 10
 
 
