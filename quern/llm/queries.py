@@ -9,10 +9,10 @@ from .common import table
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, counts and digest of the base spans, and all spans, of every document."""
+    """doc_id, counts and digest of the base spans, all spans, and how many layers were cut, of every document."""
     from .secrets import secrets
 
-    return secrets(table(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
+    return secrets(table(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_cut")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -469,8 +469,8 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """doc_id, n_assign, n_access, n_hex, base (the base spans), spans (all), n_layers, n_cut: one row for each row of docs.
 
     base and spans list kind:start:end in code points, end exclusive, ordered by start, then kind, joined by commas. A
-    null text counts as empty: no spans, as for texts without any. n_layers: layers opened below the text; n_cut: those
-    opened only in part. Rows with repeated or null ids are scanned like any other.
+    null text counts as empty: no spans, as for texts without any. n_layers: layers opened below the text; n_cut: places
+    in them where a bound was met: a run without a gap across a window's end, or too many long layers within each other. Rows with repeated or null ids are scanned like any other.
     """
     def run(batch):
         all_ = [scan(t) for t in texts(batch)]

@@ -114,6 +114,26 @@ def test_secrets_in_compressed_layers(wrapped):
     assert not any(k == "assign" for k, _, _ in secrets.scan(secrets.redacted(text)).spans)
 
 
+def test_secrets_behind_long_layers():
+    """Beyond what is held at once, with characters of two bytes, so that one lies across every bound."""
+    long = b"x" + "é ".encode() * 6_000_000 + SECRET
+    for data in (gzip.compress(long, 1), gzip.compress(gzip.compress(long, 1), 1), gzip.compress(gzip.compress(long, 1) + gzip.compress(b"no more"), 1)):
+        text = "é " + B64(data)
+        f = secrets.scan(text)
+        assert [(k, a, b) for k, a, b in f.spans if k == "assign"] == [("assign", 2, len(text))] and not f.n_cut
+
+
+def test_secrets_across_windows(monkeypatch):
+    monkeypatch.setattr(secrets, "MOST_HELD", 1000)
+    monkeypatch.setattr(secrets, "WINDOW", 400)
+    monkeypatch.setattr(secrets, "CHUNK", 64)
+    for n in range(900, 1500, 13):
+        text = B64(bz2.compress(b"some word " * (n // 10) + b"y" * (n % 10) + b" " + B64(SECRET).encode() + b" and more" * 200))
+        f = secrets.scan(text)
+        assert ("assign", 0, len(text)) in f.spans and not f.n_cut, n
+    assert secrets.scan(B64(gzip.compress(b"+/" * 5000))).n_cut > 0
+
+
 def _lines(x, n, end="\n"):
     return end.join(x[i : i + n] for i in range(0, len(x), n))
 
