@@ -519,6 +519,22 @@ def test_robust_estimate(spark):
     assert np.allclose(est["h"].c, 1)
 
 
+def test_quality_rejects_symbols_and_duplicate_lines_alone(spark):
+    r = random.Random(8)
+    words = ["".join(r.choices("abcdefghijklmnopqrst", k=r.randint(3, 8))) for _ in range(600)]
+    line = lambda n: " ".join(r.choices(words, k=n))
+    docs = [(i, ". ".join(line(8).capitalize() for _ in range(8)) + ".") for i in range(400)]
+    few = [line(2) for _ in range(12)]
+    again = few + [x for x in few for _ in range(2)]
+    r.shuffle(again)
+    docs += [(1000 + i, " | ".join(line(1) for _ in range(60))) for i in range(5)] + [(2000, "\n".join(again)), (3000, "\n".join(line(8) for _ in range(12)))]
+    df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "'en' AS lang", "'web' AS source")
+    got = {x.doc_id: x for x in quality.quality(df).collect()}
+    assert all(got[i].kept for i in range(400)) and got[3000].kept
+    assert not any(got[i].base_failed or got[i].kept for i in (1000, 1001, 1002, 1003, 1004))
+    assert got[2000].distance > quality.CUTOFF
+
+
 # ---- 9
 
 
