@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in an Arrow batch; a batch of a few hundred whole documents stays small even where documents are long.
-BATCH_ROWS = "400"
+#: Rows and bytes in an Arrow batch: a batch of whole documents stays small even where documents are long.
+BATCH_ROWS, BATCH_BYTES = 400, 32 << 20
+#: Rows of a small table up to which it is sent to every task.
+MOST_SENT = 20_000
+#: Parts into which the rows of a key are dealt where a table of keys is too large to be sent.
+SALTS = 16
+_UNITS = {"": 0, "K": 10, "M": 20, "G": 30}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,21 +23,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and written to the shared checkpoint folder.
+    """df, computed once and written to the shared checkpoint folder, the one in spark.checkpoint.dir.
 
-    The folder is the one in spark.checkpoint.dir; only where that is unset (tests on one machine) a folder of our own is used.
+    Only in a session of one machine that has none (tests) a folder of our own is made; on a cluster that is an error,
+    since executors don't share local folders.
     """
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quern-checkpoint-"))
     return df.checkpoint()
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """df, with Arrow batches of at most BATCH_ROWS rows for the Python stages that follow; a smaller setting stays."""
+    """df. Arrow batches of its session are held to BATCH_ROWS rows and BATCH_BYTES bytes from now on; smaller settings stay."""
     conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > int(BATCH_ROWS):
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = re.fullmatch(r"(\d+)([KMG]?)B?", conf.get(key).strip().upper())
+        if not now or not 0 < int(now[1]) << _UNITS[now[2]] <= most:
+            conf.set(key, str(most))
     return df
 
 
@@ -72,3 +84,12 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def ascii_lower(text: Column) -> Column:
     """A-Z in lower case, all else as it is."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def with_keys(rows: DataFrame, keyed: DataFrame, on: list[str], n: int, how: str = "inner") -> DataFrame:
+    """rows joined with a table of one row a key, that has n rows: sent to every task up to MOST_SENT, else by a join in which a key's rows are dealt out."""
+    if n <= MOST_SENT:
+        return rows.join(F.broadcast(keyed), on, how)
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)))
+    dealt = keyed.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return salted.join(dealt, [*on, "_salt"], how).drop("_salt")
