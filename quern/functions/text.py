@@ -42,3 +42,9 @@ def memory_words(text: Column) -> Column:
 
 def contains_any(text: Column, needles: tuple[str, ...]) -> Column:
     return F.exists(_strings(*needles), lambda n: F.contains(text, n))
+
+
+def context_hash(prompt: Column, model: Column, chunks: Column) -> Column:
+    """SHA-256 of a prompt, a model's version and chunks (array of id, text) in order, with U+0001 between them; null chunks are none."""
+    parts = F.flatten(F.transform(F.coalesce(chunks, F.array().cast("array<struct<id:string,text:string>>")), lambda c: F.array(c["id"], c["text"])))
+    return F.sha2(F.array_join(F.concat(F.array(prompt, model), parts), "\x01"), 256)

@@ -80,3 +80,38 @@ def patched(base: Column, changes: Column) -> Column:
     """base with the changes added."""
     m = F.map_from_entries(changes)
     return F.transform(V.doubles(base), lambda x, i: x + F.coalesce(F.try_element_at(m, i), F.lit(0.0)))
+
+
+def polynomial_shard(key: Column, shards: int) -> Column:
+    """The shard of a key: h <- 31 h + b over its bytes, modulo 2^64, then modulo the number of shards. h is held in two halves, as no long may overflow."""
+    data = key.cast("binary")
+    codes = F.transform(F.sequence(F.lit(1), F.octet_length(key)), lambda i: F.conv(F.hex(F.substring(data, i, F.lit(1))), 16, 10).cast("long"))
+    half = F.lit((1 << 32) - 1)
+    zero = F.struct(F.lit(0).cast("long").alias("hi"), F.lit(0).cast("long").alias("lo"))
+
+    def step(h: Column, b: Column) -> Column:
+        low = h["lo"] * 31 + b
+        return F.struct((h["hi"] * 31 + F.shiftright(low, 32)).bitwiseAND(half).alias("hi"), low.bitwiseAND(half).alias("lo"))
+
+    shard = lambda h: F.pmod(F.pmod(h["hi"], F.lit(shards)) * ((1 << 32) % shards) + h["lo"], F.lit(shards))
+    return F.when(F.octet_length(key) == 0, F.lit(0).cast("long")).otherwise(F.aggregate(codes, zero, step, shard))
+
+
+def layer_index(refs: DataFrame, stored: DataFrame) -> DataFrame:
+    """refs(model, layer, chunk_no, hash, bytes) with location: of the stored chunks with that hash the first, by layer and number; null where none is."""
+    blocks = stored.groupBy("hash").agg(F.min(F.struct("layer", "chunk_no")).alias("location"))
+    return refs.join(blocks, "hash", "left")
+
+
+def packed_2_4(v: Column) -> Column:
+    """A 2:4 sparse array in packed form: of each four numbers the two that stay, with their places there."""
+    fours = F.transform(F.sequence(F.lit(0), F.ceil(F.size(v) / 4).cast("int") - 1), lambda i: F.slice(v, i * 4 + 1, F.lit(4)))
+    def pick(four):
+        order = F.array_sort(F.transform(four, lambda x, i: F.struct((-F.abs(x)).alias("k"), i.alias("i"), x.alias("x"))))
+        return F.array_sort(F.transform(F.slice(order, 1, 2), lambda s: F.struct(s["i"].alias("i"), s["x"].alias("x"))))
+    return F.when(F.size(v) > 0, F.flatten(F.transform(fours, lambda four, g: F.transform(pick(four), lambda s: F.struct((4 * g + s["i"]).cast("int").alias("at"), s["x"].cast("double").alias("x")))))).otherwise(F.array().cast("array<struct<at:int,x:double>>"))
+
+
+def packed_dot(packed: Column, v: Column) -> Column:
+    """The product of a packed sparse array and a dense one: half the products of the whole."""
+    return F.aggregate(packed, F.lit(0.0), lambda a, s: a + s["x"] * F.element_at(v, s["at"] + 1))

@@ -24,16 +24,19 @@ def doc_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 def bm25(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """qid, doc_id, score, rank: for each query (qid, query) the k documents of highest BM25 above 0; a repeated query term counts repeatedly.
 
-    Only the query's terms are kept of the documents, within each document, so that nothing but them is shuffled. Query
-    terms are a broadcast: they are the stated queries' own words.
+    Every document is split once: its length, and of its terms those that are asked for, are all that is kept, so only
+    these are aggregated and shuffled. The queries' terms are a literal: they are the stated queries' own words.
     """
     asked = queries.select("qid", F.explode(T.terms(F.col("query"))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qn"))
-    split = docs.select(F.col(id_col).alias("doc_id"), T.terms(F.col(text_col)).alias("terms")).where(F.size("terms") > 0)
-    size = split.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("terms")).alias("avgdl"))
-    hits = split.select("doc_id", F.size("terms").alias("dl"), F.explode("terms").alias("term")).join(F.broadcast(asked.select("term").distinct()), "term", "left_semi")
-    tf = hits.groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    rows = tf.join(F.broadcast(df), "term").join(F.broadcast(asked), "term").join(F.broadcast(size))
+    words = sorted({r.term for r in asked.select("term").collect()})
+    wanted = F.array(*[F.lit(w) for w in words]).cast("array<string>")
+    split = docs.select(F.col(id_col).alias("doc_id"), T.terms(F.col(text_col)).alias("terms")).select("doc_id", F.size("terms").alias("dl"), F.filter("terms", lambda t: F.array_contains(wanted, t)).alias("hits")).where("dl > 0")
+    # One pass gives the number and mean length of documents, and in how many each term stands.
+    stats = split.select("dl", F.explode(F.concat(F.array(F.lit("")), F.array_distinct("hits"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.avg("dl").alias("avgdl")).collect()
+    size = next(((r.df, r.avgdl) for r in stats if r.term == ""), (0, 0.0))
+    of = docs.sparkSession.createDataFrame([(r.term, r.df, size[0], size[1]) for r in stats if r.term], "term string, df long, n long, avgdl double")
+    tf = split.where(F.size("hits") > 0).select("doc_id", "dl", F.explode(F.transform(F.array_distinct("hits"), lambda t: F.struct(t.alias("term"), F.size(F.filter("hits", lambda h: h == t)).alias("tf")))).alias("x")).select("doc_id", "dl", "x.term", "x.tf")
+    rows = tf.join(F.broadcast(of), "term").join(F.broadcast(asked), "term")
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     part = F.col("qn") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = rows.groupBy("qid", "doc_id").agg(F.sum(part).alias("score")).where("score > 0")

@@ -11,8 +11,10 @@ from ..functions import vectors as V
 
 #: Share of buckets probed by profile.
 PROBE_SHARE = {"low_latency": 0.05, "balanced": 0.15, "high_recall": 0.35}
-#: Query vectors held by every task of a batched search, at most.
-MOST_QUERIES = 100_000
+#: Query vectors of a block: what a task holds of them; rows that are multiplied with them at once.
+QUERY_BLOCK, ROWS = 2048, 1024
+#: Numbers (of 8 bytes) up to which a block of centroids goes to every task.
+MOST_CENTROID_NUMBERS = 4_000_000
 
 
 def topk(rows: DataFrame, query: DataFrame, k: int, metric: str = V.COSINE, id_col: str = "vec_id", vec_col: str = "embedding", where: Column | None = None) -> DataFrame:
@@ -23,50 +25,146 @@ def topk(rows: DataFrame, query: DataFrame, k: int, metric: str = V.COSINE, id_c
     return scored.orderBy(V.best_first(metric, F.col("score")), id_col).limit(k)
 
 
+class _Best:
+    """For each query the k rows of largest cosine among those seen; ties to nine digits go to the smaller id."""
+
+    schema = "score double"
+
+    def __init__(self, k: int, exclude_self: bool, qid: np.ndarray):
+        self.k, self.exclude_self, self.qid = k, exclude_self, qid
+        self.id, self.score = np.zeros((len(qid), 0), np.int64), np.zeros((len(qid), 0))
+
+    def add(self, ids: np.ndarray, score: np.ndarray) -> None:
+        if self.exclude_self:
+            score = np.where(self.qid[:, None] == ids[None, :], -np.inf, score)
+        id_, all_ = np.concatenate([self.id, np.broadcast_to(ids, score.shape)], 1), np.concatenate([self.score, score], 1)
+        order = np.lexsort((id_, -np.round(all_, 9)), axis=1)[:, : self.k]
+        self.id, self.score = np.take_along_axis(id_, order, 1), np.take_along_axis(all_, order, 1)
+
+    def result(self) -> list[np.ndarray]:
+        there = np.isfinite(self.score.ravel())
+        return [np.repeat(self.qid, self.id.shape[1])[there], self.id.ravel()[there], self.score.ravel()[there]]
+
+
+class _Sums:
+    """For each query how many rows it has seen, and the sum and least of their cosines."""
+
+    def __init__(self, qid: np.ndarray):
+        self.qid, self.n, self.sum, self.low = qid, 0, np.zeros(len(qid)), np.full(len(qid), np.inf)
+
+    def add(self, ids: np.ndarray, score: np.ndarray) -> None:
+        self.n += len(ids)
+        self.sum += score.sum(1)
+        self.low = np.minimum(self.low, score.min(1))
+
+    def result(self) -> list[np.ndarray]:
+        return [self.qid, np.full(len(self.qid), self.n), self.sum, self.low] if self.n else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)] * 2
+
+
+def _unit(vectors) -> np.ndarray:
+    x = np.array(vectors, np.float64) if vectors else np.zeros((0, 1))
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+
+def _folded(rows: DataFrame, queries: DataFrame, make, schema: str, id_col: str, vec_col: str) -> DataFrame:
+    """What fold objects make(qid) give that are shown, for each block of queries, every row's id and cosines with the block.
+
+    Up to QUERY_BLOCK queries go to every task, and rows stay where they are. More are cut into blocks by a hash, rows into
+    as many as keep the cluster at work, and each pair of blocks is a group of one shuffle, in which the queries come first
+    and the rows stream by.
+    """
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def seen(fold, unit, ids, vectors):
+        for i in range(0, len(ids), ROWS):
+            fold.add(ids[i : i + ROWS], unit @ _unit(vectors[i : i + ROWS]).T)
+
+    def out(fold):
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in fold.result()], names=names)
+
+    slim = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
+    asked = queries.select(F.col("qid").cast("long").alias("id"), F.col("q").cast("array<double>").alias("vec"))
+    n = asked.count()
+    if n <= QUERY_BLOCK:
+        held = asked.toArrow()
+        qid, unit = held.column("id").to_numpy(), _unit(held.column("vec").to_pylist())
+
+        def local(batches):
+            fold = make(qid)
+            for batch in batches:
+                if batch.num_rows and len(qid):
+                    seen(fold, unit, batch.column("id").to_numpy(), batch.column("vec").to_pylist())
+            yield out(fold)
+
+        return slim.mapInArrow(local, schema)
+    q_blocks = -(-n // QUERY_BLOCK)
+    r_blocks = max(1, -(-2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // q_blocks))
+
+    def blocks(df, kind, own, of, other, k):
+        own_block = F.pmod(F.xxhash64(F.lit(kind), "id"), F.lit(of)).cast("int").alias(own)
+        return df.select("id", "vec", F.lit(kind).alias("kind"), own_block, F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias(other))
+
+    both = blocks(asked, 0, "qb", q_blocks, "rb", r_blocks).unionByName(blocks(slim, 1, "rb", r_blocks, "qb", q_blocks))
+    grid = both.repartition(min(q_blocks * r_blocks, 20_000), "qb", "rb").sortWithinPartitions("qb", "rb", "kind")
+
+    def paired(batches):
+        now, ids, vectors, fold, unit = None, [], [], None, None
+        for batch in batches:
+            id_, vec = batch.column("id").to_numpy(), batch.column("vec").to_pylist()
+            key = np.stack([batch.column(c).to_numpy() for c in ("qb", "rb", "kind")], 1)
+            begin = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(1)]) if len(key) else []
+            for a, b in zip(begin, [*begin[1:], len(key)], strict=True):
+                if (pair := tuple(key[a][:2])) != now:
+                    if fold is not None:
+                        yield out(fold)
+                    now, ids, vectors, fold = pair, [], [], None
+                if key[a][2] == 0:
+                    ids.append(id_[a:b])
+                    vectors += vec[a:b]
+                elif ids:
+                    if fold is None:
+                        fold, unit, vectors = make(np.concatenate(ids)), _unit(vectors), []
+                    seen(fold, unit, id_[a:b], vec[a:b])
+        if fold is not None:
+            yield out(fold)
+
+    return grid.mapInArrow(paired, schema)
+
+
 def batch_topk(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", exclude_self: bool = False) -> DataFrame:
-    """qid, id, score, rank: for each of a set of query vectors (qid, q) the k rows of largest cosine, ranks from 1.
+    """qid, id, score, rank: for each of a set of query vectors (qid, q), of any number, the k rows of largest cosine, ranks from 1.
 
-    The queries, MOST_QUERIES at most, go to every task; a task multiplies its rows with them batch by batch and keeps k for
-    each query, so that k rows a task and query are shuffled, whatever the number of rows.
+    A task keeps k rows for each query of its block, so k rows a query and task are shuffled at the end, whatever the
+    number of rows.
     """
-    asked = queries.select("qid", "q").limit(MOST_QUERIES + 1).toPandas()
-    if len(asked) > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries; split them")
-    qid = asked.qid.to_numpy()
-    q = np.stack([np.asarray(x, np.float64) for x in asked.q]) if len(asked) else np.zeros((0, 1))
-    q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
     kind = dict(rows.dtypes)[id_col]
-
-    def run(batches):
-        best_id, best = np.zeros((len(q), 0), np.int64), np.zeros((len(q), 0))
-        for batch in batches:
-            if not batch.num_rows or not len(q):
-                continue
-            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            x = np.stack([np.asarray(v, np.float64) for v in batch.column(1).to_pylist()])
-            x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-            score = q @ x.T
-            if exclude_self:
-                score[qid[:, None] == ids[None, :]] = -np.inf
-            all_id, all_ = np.concatenate([best_id, np.broadcast_to(ids, (len(q), len(ids)))], 1), np.concatenate([best, score], 1)
-            order = np.lexsort((all_id, -np.round(all_, 9)), axis=1)[:, :k]
-            best_id, best = np.take_along_axis(all_id, order, 1), np.take_along_axis(all_, order, 1)
-        if best.size:
-            n = best.shape[1]
-            there = np.isfinite(best.ravel())
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, n)[there]), pa.array(best_id.ravel()[there]), pa.array(best.ravel()[there])], names=["qid", id_col, "score"])
-
-    local = rows.select(F.col(id_col).cast("long"), F.col(vec_col)).mapInArrow(run, f"qid long, {id_col} long, score double")
+    local = _folded(rows, queries, lambda qid: _Best(k, exclude_self, qid), f"qid long, {id_col} long, score double", id_col, vec_col)
     order = Window.partitionBy("qid").orderBy(F.round("score", 9).desc(), id_col)
     return local.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumn(id_col, F.col(id_col).cast(kind))
 
 
+def scan_stats(rows: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """qid, n, low, mean of the cosines of each query (qid, q) with every row."""
+    local = _folded(rows, queries, _Sums, "qid long, n long, sum double, low double", id_col, vec_col)
+    return local.groupBy("qid").agg(F.sum("n").alias("n"), F.min("low").alias("low"), (F.sum("sum") / F.sum("n")).alias("mean"))
+
+
 def first_hit(cache: DataFrame, query: DataFrame, threshold: float = 0.92, seq_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """The earliest cached row, not the best, whose cosine with the query reaches the threshold: none or one row."""
     scored = cache.join(F.broadcast(query.select("q").limit(1))).select(seq_col, V.cosine(F.col(vec_col), F.col("q")).alias("score"))
     return scored.where(F.col("score") >= threshold).orderBy(seq_col).limit(1)
 
 
+def cache_insert(cache: DataFrame, items: DataFrame) -> DataFrame:
+    """A semantic cache with items appended (order, vector, completion, as the cache has them); equal ones stay beside each other, the earliest answers."""
+    return cache.unionByName(items)
+
+
+def cache_clear(cache: DataFrame) -> DataFrame:
+    """The cache without its items."""
+    return cache.where(F.lit(False))
+
+
 def centroids(rows: DataFrame, cluster: str = "label", vec_col: str = "embedding") -> DataFrame:
     """cluster, centroid: the mean vector of each cluster, by sums of positions that combine before the shuffle."""
     parts = rows.select(cluster, F.posexplode(V.doubles(F.col(vec_col))).alias("pos", "x")).groupBy(cluster, "pos").agg(F.avg("x").alias("m"))
@@ -74,9 +172,20 @@ def centroids(rows: DataFrame, cluster: str = "label", vec_col: str = "embedding
 
 
 def assign(rows: DataFrame, cents: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", cluster: str = "cid") -> DataFrame:
-    """id, cluster: the nearest centroid by L2, the lowest of equally near ones."""
-    near = F.struct(F.round(V.l2(F.col(vec_col), F.col("centroid")), 9).alias("d"), F.col(cluster))
-    return rows.join(F.broadcast(cents.select(cluster, "centroid"))).groupBy(id_col).agg(F.min(near)[cluster].alias(cluster))
+    """id, cluster: the nearest centroid by L2, the lowest of equally near ones.
+
+    Centroids are an array beside each row, whose least is taken in place, without a shuffle; more than
+    MOST_CENTROID_NUMBERS numbers of them are cut into several arrays, of whose least the least is taken.
+    """
+    size = cents.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("centroid")).alias("d")).first()
+    parts = max(1, -(-(size.n or 0) * (size.d or 1) // MOST_CENTROID_NUMBERS))
+    each = cents.select(F.col(cluster).alias("c"), V.doubles(F.col("centroid")).alias("v"))
+    arrays = each.groupBy(F.pmod(F.xxhash64("c"), F.lit(parts)).alias("part")).agg(F.collect_list(F.struct("c", "v")).alias("cs")).select("cs")
+    near = F.array_min(F.transform("cs", lambda c: F.struct(F.round(V.l2(F.col("vec"), c["v"]), 9).alias("d"), c["c"].alias("c"))))
+    found = rows.select(F.col(id_col), V.doubles(F.col(vec_col)).alias("vec")).join(F.broadcast(arrays)).select(id_col, near.alias("x"))
+    if parts > 1:
+        found = found.groupBy(id_col).agg(F.min("x").alias("x"))
+    return found.select(id_col, F.col("x.c").alias(cluster))
 
 
 def n_probes(buckets: int, profile: str = "balanced") -> int:

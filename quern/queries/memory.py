@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import evidence as E
 from ..operators import folds as O
+from ..operators import graph as G
+from ..operators.order import lagged
 from ..registry import query
 from ..session import table
 
@@ -79,8 +81,8 @@ def memory_contradiction(spark, d):
     """Facts against semantic memories with much the same words, one of them negated or with an opposite."""
     mem = memories(spark, d).where("NOT retracted AND tier = 'Semantic' AND confidence >= 0.8").select("id", F.lower("content").alias("c"), F.array_distinct(T.memory_words(F.col("content"))).alias("w"))
     facts = table(spark, d, "benchmark").select("item_id", F.lower("text").alias("f"), F.array_distinct(T.memory_words(F.col("text"))).alias("v"))
-    same = facts.select("item_id", F.size("v").alias("nv"), F.explode("v").alias("t")).join(mem.select("id", F.size("w").alias("nw"), F.explode("w").alias("t")), "t").groupBy("item_id", "id", "nv", "nw").agg(F.count(F.lit(1)).alias("n"))
-    near = same.where(F.col("n") / F.least("nv", "nw") >= 0.4).select("item_id", "id").join(facts.select("item_id", "f"), "item_id").join(mem.select("id", "c"), "id")
+    near = E.alike(facts.select(F.col("item_id").alias("a"), F.col("v").alias("aw")), mem.select(F.col("id").alias("b"), F.col("w").alias("bw")), 0.4).select(F.col("a").alias("item_id"), F.col("b").alias("id"))
+    near = near.join(facts.select("item_id", "f"), "item_id").join(mem.select("id", "c"), "id")
     f, c = F.col("f"), F.col("c")
     opposed = T.contains_any(f, NEGATIONS) != T.contains_any(c, NEGATIONS)
     for a, b in ANTONYMS:
@@ -217,14 +219,67 @@ def memory_graph_nodes(spark, d):
 @query(f"WITH {_M} SELECT id AS source, 'session_' || provenance AS target, 'session' AS type FROM m UNION ALL SELECT * FROM (SELECT id, lead(id) OVER (PARTITION BY provenance ORDER BY id)::VARCHAR AS target, 'session_link' FROM m) WHERE target IS NOT NULL")
 def memory_graph_edges(spark, d):
     """Memory to session, and each memory to the next of its session: the links of all pairs follow from these, without their square."""
-    from pyspark.sql import Window
-
     m = memories(spark, d).select("id", "provenance")
     a = m.select(F.col("id").alias("source"), F.concat(F.lit("session_"), "provenance").alias("target"), F.lit("session").alias("type"))
-    b = m.select(F.col("id").alias("source"), F.lead("id").over(Window.partitionBy("provenance").orderBy("id")).cast("string").alias("target"), F.lit("session_link").alias("type")).where("target IS NOT NULL")
+    b = lagged(m, "provenance", "id", "id", "before").where("before IS NOT NULL").select(F.col("before").alias("source"), F.col("id").cast("string").alias("target"), F.lit("session_link").alias("type"))
+    return a.union(b)
+
+
+_GOALS = """t AS (SELECT conv_id, turn, text, contains(lower(text), 'compare') OR contains(lower(text), 'difference') AS cmp, contains(lower(text), 'first') OR contains(lower(text), 'then') OR contains(text, ';') AS many FROM conversations WHERE role = 'user'),
+g AS (SELECT conv_id, turn, text, unnest(CASE WHEN cmp OR many THEN ['subtask_1', 'subtask_2'] ELSE ['subtask_main'] END) AS task, unnest(CASE WHEN cmp OR many THEN [1, 2] ELSE [1] END) AS seq FROM t)"""
+
+
+@query(f"""WITH {_GOALS}, p AS (SELECT conv_id, turn, 'prompt_' || conv_id || '_' || turn AS pid, task, seq FROM g)
+SELECT pid AS source, pid || '_' || task AS target, 'decomposition' AS type FROM p UNION ALL SELECT pid || '_subtask_1', pid || '_subtask_2', 'dependency' FROM p WHERE seq = 2""")
+def prompt_graph_edges(spark, d):
+    """A prompt's node to each of its goals, and each goal to the next."""
+    p = G.tasks(table(spark, d, "conversations").where("role = 'user'"), "text", "conv_id", "turn").withColumn("pid", F.concat_ws("_", F.lit("prompt"), "conv_id", "turn"))
+    a = p.select(F.col("pid").alias("source"), F.concat_ws("_", "pid", "task").alias("target"), F.lit("decomposition").alias("type"))
+    b = p.where("seq = 2").select(F.concat(F.col("pid"), F.lit("_subtask_1")).alias("source"), F.concat_ws("_", "pid", "task").alias("target"), F.lit("dependency").alias("type"))
     return a.union(b)
 
 
+@query(f"WITH {_GOALS} SELECT 'prompt_' || conv_id || '_' || turn AS id, 'prompt' AS type, NULL AS status FROM (SELECT DISTINCT conv_id, turn FROM g) UNION ALL SELECT 'prompt_' || conv_id || '_' || turn || '_' || task, 'goal', 'Pending' FROM g")
+def prompt_graph_nodes(spark, d):
+    p = G.tasks(table(spark, d, "conversations").where("role = 'user'"), "text", "conv_id", "turn").withColumn("pid", F.concat_ws("_", F.lit("prompt"), "conv_id", "turn"))
+    a = p.where("seq = 1").select(F.col("pid").alias("id"), F.lit("prompt").alias("type"), F.lit(None).cast("string").alias("status"))
+    return a.union(p.select(F.concat_ws("_", "pid", "task").alias("id"), F.lit("goal").alias("type"), F.col("status")))
+
+
+@query(f"""WITH {_GOALS}, c AS (SELECT conv_id, string_agg(text, ' | ' ORDER BY turn) AS ctx FROM conversations WHERE role = 'assistant' AND turn % 4 = 1 GROUP BY conv_id),
+n AS (SELECT conv_id, turn, max(seq) AS tasks FROM g GROUP BY ALL),
+h AS (SELECT n.conv_id, n.turn, tasks, CASE WHEN ctx IS NULL THEN least(tasks, 3) ELSE 1 END AS hops, ctx FROM n LEFT JOIN c USING (conv_id))
+SELECT conv_id, turn, hops::BIGINT AS hops, CASE WHEN ctx IS NULL THEN 0.1::DOUBLE ELSE 0.95::DOUBLE END AS usefulness, ctx IS NOT NULL OR hops = tasks AS stopped, CASE WHEN hops < tasks THEN 'subtask_2' END AS pending,
+CASE WHEN ctx IS NOT NULL THEN '[Step Output for: ' || CASE WHEN tasks = 2 THEN 'subtask_1' ELSE 'subtask_main' END || '] Resolved using contexts: ' || ctx || chr(10)
+WHEN tasks = 2 THEN 'No direct evidence found for: subtask_1' || chr(10) || 'No direct evidence found for: subtask_2' || chr(10) ELSE 'No direct evidence found for: subtask_main' || chr(10) END AS merged FROM h""")
+def goal_hops(spark, d):
+    """Goals of a session's prompts, worked off in hops that ask the session's answers for contexts: hops until it stops, the last one's usefulness, the first goal still pending, and the results put together."""
+    t = table(spark, d, "conversations")
+    contexts = t.where("role = 'assistant' AND turn % 4 = 1").groupBy("conv_id").agg(F.transform(O.ordered("turn", "text"), lambda x: x["text"]).alias("contexts"))
+    tasks = G.tasks(t.where("role = 'user'"), "text", "conv_id", "turn")
+
+    def retrieve(asked):
+        return asked.join(contexts, "conv_id", "left").withColumn("contexts", F.coalesce("contexts", F.array().cast("array<string>")))
+
+    return G.hops(tasks, retrieve, "conv_id", "turn")
+
+
+@query("SELECT conv_id, min(turn) AS turn, arg_min(role, turn) AS role FROM conversations WHERE turn % 3 <> 0 GROUP BY conv_id")
+def first_pending_task(spark, d):
+    """Of each session's steps the first that is pending (two in three are)."""
+    return G.first_pending(table(spark, d, "conversations").withColumn("status", F.when(F.col("turn") % 3 == 0, "Completed").otherwise("Pending")), "turn", "role", "conv_id").select("conv_id", "turn", "role")
+
+
+@query(r"""WITH c AS (SELECT conv_id, string_agg(turn || chr(1) || text, chr(1) ORDER BY turn) AS ctx FROM conversations WHERE role <> 'user' GROUP BY conv_id)
+SELECT t.conv_id, t.turn, sha256(t.text || chr(1) || 'model-1' || coalesce(chr(1) || c.ctx, '')) AS hash FROM conversations t LEFT JOIN c USING (conv_id) WHERE t.role = 'user'""")
+def context_hash(spark, d):
+    """The key of an answer: a hash of its prompt, the model's version and the contexts, each with its id, in order."""
+    t = table(spark, d, "conversations")
+    chunks = t.where("role <> 'user'").groupBy("conv_id").agg(O.ordered("turn", "text").alias("chunks"))
+    asked = t.where("role = 'user'").join(chunks, "conv_id", "left")
+    return asked.select("conv_id", "turn", T.context_hash(F.col("text"), F.lit("model-1"), F.transform("chunks", lambda c: F.struct(c["turn"].cast("string").alias("id"), c["text"].alias("text")))).alias("hash"))
+
+
 @query("SELECT source, min(lang) AS model, count(*) AS n FROM documents WHERE lang <> 'en' GROUP BY source")
 def model_for_task(spark, d):
     """The first model, by name, that fits each task."""

@@ -6,6 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..operators import clusters as K
+from ..operators import hnsw as H
 from ..operators import search as S
 from ..registry import query
 from ..session import table
@@ -152,13 +154,9 @@ def ivf_recall(spark, d):
 
 @query()
 def kmeans_clusters(spark, d):
-    """k-means by Spark's own parallel seeding, seed 42: cluster sizes."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    e = _emb(spark, d).select("vec_id", array_to_vector(V.doubles(F.col("embedding"))).alias("features"))
-    model = KMeans(k=10, seed=42, maxIter=100, tol=1e-4).fit(e)
-    return model.transform(e).groupBy(F.col("prediction").alias("cluster")).agg(F.count(F.lit(1)).alias("n"))
+    """Sizes of ten clusters: seeds by squared distances, then steps until no centroid moves."""
+    e = _emb(spark, d)
+    return S.assign(e, K.kmeans(e.select("vec_id", "embedding"), 10)).groupBy(F.col("cid").alias("cluster")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query()
@@ -227,5 +225,50 @@ def shadow_scan_cosine(spark, d):
     """Cosines of the stated queries with every row, summed up."""
     e = _emb(spark, d)
     q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
-    s = e.join(F.broadcast(q)).select("qid", V.cosine(F.col("embedding"), F.col("q")).alias("score"))
-    return s.groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.round(F.min("score"), 6).alias("low"), F.round(F.avg("score"), 6).alias("mean"))
+    return S.scan_stats(e, q).select("qid", "n", F.round("low", 6).alias("low"), F.round("mean", 6).alias("mean"))
+
+
+# Indexes that are built here.
+
+
+def _index_rows(spark, d):
+    return _emb(spark, d).select("vec_id", "embedding")
+
+
+@query()
+def ivf_built_search(spark, d):
+    """Of an IVF index built here (10 clusters, 2 probed): the ten nearest of vectors 0 and 7 by L2."""
+    e = _index_rows(spark, d)
+    index = K.ivf(e, 10)
+    found = [K.ivf_topk(index, _query(e, i), 10).select(F.lit(i).cast("long").alias("qid"), "vec_id", F.round("distance", 6).alias("distance")) for i in (0, 7)]
+    return found[0].union(found[1])
+
+
+@query()
+def hnsw_topk(spark, d):
+    """Of an HNSW index built here: the ten nearest by L2 of the stated queries (ids divisible by 50)."""
+    e = _index_rows(spark, d)
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
+    return H.topk(H.build(e), q, 10).select("qid", "vec_id", F.round("distance", 6).alias("distance"), "rank")
+
+
+@query("SELECT count(*) AS nodes, 1.0::DOUBLE AS links_in_place FROM embeddings")
+def hnsw_graph(spark, d):
+    """Nodes of the built graph, and the share of them whose links are within bounds, to nodes of their own layer and part."""
+    g = H.build(_index_rows(spark, d)).nodes
+    links = g.select("part", "vec_id", F.posexplode("links").alias("level", "to"))
+    there = links.select("part", "level", F.col("vec_id").alias("x")).alias("there")
+    bad = links.where(F.size("to") > F.when(F.col("level") == 0, 2 * H.LINKS).otherwise(H.LINKS)).select("part", "vec_id")
+    lost = links.select("part", "level", "vec_id", F.explode("to").alias("x")).join(there, ["part", "level", "x"], "left_anti").select("part", "vec_id")
+    odd = bad.union(lost).distinct().agg(F.count(F.lit(1)).alias("odd"))
+    return g.agg(F.count(F.lit(1)).alias("nodes")).join(F.broadcast(odd)).select("nodes", (1 - F.col("odd") / F.col("nodes")).alias("links_in_place"))
+
+
+@query("""WITH b AS (SELECT vec_id AS pos, embedding AS v, 'answer ' || vec_id AS completion FROM embeddings WHERE vec_id < 100), c AS (SELECT vec_id AS pos, embedding AS v, 'again ' || vec_id AS completion FROM embeddings WHERE vec_id % 7 = 0 AND vec_id < 50)
+SELECT pos, completion FROM (SELECT * FROM b UNION ALL SELECT pos + 1000, v, completion FROM c)""")
+def semantic_cache_insert(spark, d):
+    """A semantic cache that items are appended to, likeness or not."""
+    e = _emb(spark, d)
+    one = e.where("vec_id < 100").select(F.col("vec_id").alias("pos"), F.col("embedding").alias("v"), F.concat(F.lit("answer "), F.col("vec_id").cast("string")).alias("completion"))
+    two = e.where("vec_id % 7 = 0 AND vec_id < 50").select((F.col("vec_id") + 1000).alias("pos"), F.col("embedding").alias("v"), F.concat(F.lit("again "), F.col("vec_id").cast("string")).alias("completion"))
+    return S.cache_insert(S.cache_insert(S.cache_clear(two), one), two).select("pos", "completion")

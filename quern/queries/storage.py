@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import blocks as B
+from ..operators.order import lagged
 from ..registry import query
 from ..session import table
 
@@ -84,8 +85,9 @@ def savings_report(spark, d):
 
 
 def _pairs(spark, d):
-    w = Window.partitionBy("label").orderBy("vec_id")
-    return table(spark, d, "embeddings").select("label", "vec_id", F.col("embedding").alias("t"), F.lag("embedding").over(w).alias("b")).where("b IS NOT NULL")
+    """Each tensor and the one before it of its label."""
+    e = lagged(table(spark, d, "embeddings").select("label", "vec_id", F.col("embedding").alias("t")), "label", "vec_id", "t", "b")
+    return e.where("b IS NOT NULL").select("label", "vec_id", "t", "b")
 
 
 _P = "p AS (SELECT vec_id, embedding::DOUBLE[] AS t, lag(embedding::DOUBLE[]) OVER (PARTITION BY label ORDER BY vec_id) AS b FROM embeddings)"
@@ -181,7 +183,26 @@ def device_totals(spark, d):
     return table(spark, d, "part").groupBy((F.col("p_partkey") % 4).alias("device")).agg(F.count(F.lit(1)).alias("n"), F.max("p_retailprice").alias("largest"))
 
 
-@query()
+@query("""WITH h AS (SELECT c_custkey, list_reduce(list_prepend(0::HUGEINT, list_transform(range(1, length(c_name) + 1), lambda i: unicode(substr(c_name, i, 1))::HUGEINT)), lambda h, b: (h * 31 + b) % 18446744073709551616::HUGEINT) AS h FROM customer)
+SELECT (h % 12)::BIGINT AS shard, count(*) AS n, min(c_custkey) AS least FROM h GROUP BY 1""")
 def shard_hash(spark, d):
-    """Documents by the shard that a hash of their text gives."""
-    return table(spark, d, "documents").groupBy(F.pmod(F.xxhash64("text"), F.lit(16)).alias("shard")).agg(F.count(F.lit(1)).alias("n"))
+    """Customers by the shard that the polynomial hash of their name gives."""
+    c = table(spark, d, "customer").select("c_custkey", B.polynomial_shard(F.col("c_name"), 12).alias("shard"))
+    return c.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.min("c_custkey").alias("least"))
+
+
+@query(f"""WITH {_C}, b AS (SELECT hash, arg_min(layer, layer * 1000000 + chunk_no) AS block_layer, min(layer * 1000000 + chunk_no) % 1000000 AS block_chunk FROM r WHERE layer % 3 <> 0 GROUP BY hash)
+SELECT layer, chunk_no, r.hash, block_layer, block_chunk::BIGINT AS block_chunk FROM r LEFT JOIN b USING (hash) WHERE model = 'src3'""")
+def layer_index(spark, d):
+    """Where each chunk of a model's layers lies in the block store (which holds the chunks of two layers in three); null where it isn't there."""
+    r = _refs(spark, d).withColumn("chunk_no", F.col("chunk_no").cast("long"))
+    return B.layer_index(r.where("model = 'src3'"), r.where("layer % 3 <> 0")).select("layer", "chunk_no", "hash", F.col("location.layer").alias("block_layer"), F.col("location.chunk_no").alias("block_chunk"))
+
+
+@query(f"WITH {_C}, m AS (SELECT layer, chunk_no, CASE WHEN layer % 10 = 0 THEN sha256('other') ELSE hash END AS noted FROM r) SELECT r.layer, count(*) AS chunks, count(*) FILTER (WHERE noted <> hash) AS mismatches FROM r JOIN m USING (layer, chunk_no) GROUP BY r.layer HAVING count(*) FILTER (WHERE noted <> hash) > 0")
+def manifest_mismatches(spark, d):
+    """Layers with chunks whose checksum isn't the one that the manifest has; every tenth layer's entries are wrong here."""
+    r = _refs(spark, d).select("layer", "chunk_no", "hash")
+    noted = r.select("layer", "chunk_no", F.when(F.col("layer") % 10 == 0, F.sha2(F.lit("other"), 256)).otherwise(F.col("hash")).alias("noted"))
+    both = r.join(noted, ["layer", "chunk_no"]).groupBy("layer").agg(F.count(F.lit(1)).alias("chunks"), F.count_if(F.col("noted") != F.col("hash")).alias("mismatches"))
+    return both.where("mismatches > 0")

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import folds as O
+from ..operators.order import numbered
 from ..registry import query
 from ..session import table
 
@@ -217,7 +218,7 @@ def oldest_evicted(spark, d):
 @query("SELECT event_id, s_suppkey AS replica FROM events JOIN (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) - 1 AS i, count(*) OVER () AS n FROM supplier WHERE s_acctbal > 0) s ON event_id % n = i")
 def round_robin_replica(spark, d):
     """Requests in order over the ready replicas."""
-    ready = table(spark, d, "supplier").where("s_acctbal > 0").select("s_suppkey", (F.row_number().over(Window.orderBy("s_suppkey")) - 1).cast("long").alias("i"))
+    ready = numbered(table(spark, d, "supplier").where("s_acctbal > 0").select("s_suppkey"), "s_suppkey", "i")
     n = ready.count()
     e = _ev(spark, d).select("event_id", F.pmod("event_id", F.lit(max(n, 1))).cast("long").alias("i"))
     return e.join(ready, "i").select("event_id", F.col("s_suppkey").alias("replica"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import blocks as B
+from ..operators import factor
 from ..registry import query
 from ..session import table
 
@@ -110,10 +111,20 @@ h AS (SELECT doc_id, n, sha256(array_to_string(w[1:n], ' ')) AS h FROM p), f AS
 def longest_prefix(spark, d):
     """The longest prefix, in multiples of 16 terms, that an earlier document has cached: a join on prefix hashes."""
     w = table(spark, d, "documents").select("doc_id", T.terms(F.col("text")).alias("w")).where(F.size("w") >= 16)
-    p = w.select("doc_id", "w", F.explode(F.sequence(F.lit(16), F.size("w"), F.lit(16))).alias("n"))
-    h = p.select("doc_id", "n", F.sha2(F.array_join(F.slice("w", F.lit(1), F.col("n")), " "), 256).alias("h"))
-    first = h.groupBy("h").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").select("h", "first")
-    return h.join(first, "h").where("first < doc_id").groupBy("doc_id").agg(F.max("n").cast("long").alias("prefix"))
+    # A block's hash holds its place, so that the running xor of the blocks' hashes tells a whole prefix; two of them, of 64 bits.
+    blocks = w.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor(F.size("w") / 16).cast("int") - 1), lambda i: F.array_join(F.slice("w", i * 16 + 1, F.lit(16)), " "))).alias("i", "block"))
+    run = Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    h = blocks.select("doc_id", ((F.col("i") + 1) * 16).alias("n"), *[F.expr(f"bit_xor(xxhash64({s}, i, block))").over(run).alias(f"h{s}") for s in (1, 2)])
+    first = h.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    return h.join(first, ["n", "h1", "h2"]).where("first < doc_id").groupBy("doc_id").agg(F.max("n").cast("long").alias("prefix"))
+
+
+@query("""WITH w AS (SELECT vec_id, list_transform(range(1, 65), lambda i: embedding[i]::DOUBLE) AS v FROM embeddings), g AS (SELECT vec_id, i, v[i] AS x, row_number() OVER (PARTITION BY vec_id, (i - 1) // 4 ORDER BY abs(v[i]) DESC, i) AS r FROM (SELECT vec_id, v, unnest(range(1, 65)) AS i FROM w))
+SELECT vec_id, round(sum(CASE WHEN r <= 2 THEN x * (i / 64.0)::DOUBLE ELSE 0 END), 6) AS y FROM g GROUP BY vec_id""")
+def packed_2_4_matvec(spark, d):
+    """The packed form of a 2:4 sparse tensor times a fixed vector."""
+    w = F.array(*[F.lit((i + 1) / 64.0) for i in range(64)])
+    return _emb(spark, d).select("vec_id", F.round(B.packed_dot(B.packed_2_4(F.col("embedding")), w), 6).alias("y"))
 
 
 @query(r"""WITH w AS (SELECT doc_id, len(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS n FROM documents) SELECT doc_id, n, least(n, 4) AS sinks, least(greatest(n - 4, 0), 252) AS recent, greatest(n - 256, 0) AS evicted FROM w""")
@@ -138,10 +149,11 @@ def branch_replay(spark, d):
 
 @query()
 def randomized_svd(spark, d):
-    """Leading singular values of the embeddings; the Gramian is summed over partitions, so no task holds the rows."""
-    from pyspark.mllib.linalg import Vectors
-    from pyspark.mllib.linalg.distributed import RowMatrix
-
-    rows = _emb(spark, d).select("embedding").rdd.map(lambda r: Vectors.dense(r.embedding))
-    s = RowMatrix(rows).computeSVD(8, False).s.toArray().tolist()
-    return spark.createDataFrame([(i, round(x, 6)) for i, x in enumerate(s)], "rank int, value double")
+    """Leading singular values of the embeddings, by a randomised factorisation, and how far the factors' product is from them."""
+    e = _emb(spark, d)
+    s, right, left = factor.randomized_svd(e, 8)
+    cells = F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in right.T])
+    off = F.zip_with(F.col("embedding").cast("array<double>"), F.transform(cells, lambda r: V.dot(F.col("factor"), r)), lambda a, b: (a - b) * (a - b))
+    error = e.select("vec_id", "embedding").join(left, "vec_id").select(F.aggregate(off, F.lit(0.0), lambda a, x: a + x).alias("e")).agg(F.round(F.sum("e"), 4).alias("error"))
+    values = spark.createDataFrame([(i, round(float(x), 6)) for i, x in enumerate(s)], "rank int, value double")
+    return values.join(F.broadcast(error))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +52,24 @@ def status(snapshot: DataFrame, bad_lines: DataFrame, dimension: int) -> str:
     return "READY"
 
 
+def bootstrap(spark: SparkSession, snapshot_path: str, log_path: str, dimension: int) -> tuple[DataFrame, str]:
+    """A collection as it is found: the snapshot with the log laid over it, and its status. Without a log the snapshot stands."""
+    snapshot = load(spark, snapshot_path)
+    try:
+        ops, bad = read_log(spark, log_path)
+    except AnalysisException:  # no log
+        return snapshot, status(snapshot, snapshot.select(F.lit("").alias("_bad")).where("false"), dimension)
+    return current(snapshot, ops), status(snapshot, bad, dimension)
+
+
+def repair(spark: SparkSession, snapshot_path: str, log_path: str, new_path: str, dimension: int) -> tuple[DataFrame, str]:
+    """What can be read of a collection, written to new_path as a snapshot without a log: whole operations and vectors of the right length. It is READY then."""
+    rows, _ = bootstrap(spark, snapshot_path, log_path, dimension)
+    save(rows.where((F.size("values") == dimension) | F.col("values").isNull()), new_path)
+    whole = load(spark, new_path)
+    return whole, status(whole, whole.select(F.lit("").alias("_bad")).where("false"), dimension)
+
+
 def audit(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
     """path, ok of the files below a folder whose SHA-256 is (path, sha256) in the manifest; an empty or changed file isn't ok, a missing one neither."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.sha2("content", 256).alias("got"), "length")

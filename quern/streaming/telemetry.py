@@ -1,12 +1,18 @@
-"""Latency windows with watermarks, and folds kept as state for each key."""
+"""Latency windows with watermarks, and folds whose state is a table that each batch carries on."""
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from ..operators import folds as O
+
 ALPHA = 0.1
 
 
@@ -16,23 +22,54 @@ def latency_windows(events: DataFrame, late: str = "1 hour", length: str = "1 ho
     return w.agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.percentile_approx("value", 0.95).alias("p95")).select(F.col("window.start").alias("start"), "event_type", "n", "mean", "p95")
 
 
-def route_ewma(events: DataFrame, key: str = "event_type", seq: str = "event_id", value: str = "value", alpha: float = ALPHA) -> DataFrame:
-    """key, n, ewma after each batch, the state being these numbers; a batch's events are put in order first."""
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder for a stream's files below spark.checkpoint.dir; on one machine that has none, a folder of its own."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the executors share")
+        base = tempfile.mkdtemp(prefix="quern-streams-")
+    return os.path.join(base, f"{name}-{uuid.uuid4().hex[:8]}")
 
-    def step(k, frames, state):
-        n, mean = state.get if state.exists else (0, 0.0)
-        rows = pd.concat(list(frames)).sort_values(seq)
-        for x in rows[value].tolist():
-            mean = x if n == 0 else mean * (1 - alpha) + x * alpha
-            n += 1
-        state.update((n, mean))
-        yield pd.DataFrame({key: [k[0]], "n": [n], "ewma": [mean]})
 
-    return events.groupBy(key).applyInPandasWithState(step, f"{key} string, n long, ewma double", "n long, ewma double", "update", GroupStateTimeout.NoTimeout)
+def fold_ewma(batch: DataFrame, state: DataFrame | None, key: str, seq: str, value: str, alpha: float = ALPHA) -> DataFrame:
+    """key, n, ewma after a batch of events: the state before it stands as a first event. Ranges of a key's events are folded apart, so no task holds a key's."""
+    rows = batch.where(F.col(value).isNotNull()).select(F.col(key).alias("k"), F.lit(1).alias("later"), F.col(seq).cast("long").alias("s"), F.col(value).cast("double").alias("x"), F.lit(1).cast("long").alias("n"))
+    if state is not None:
+        rows = rows.union(state.select(key, F.lit(0), F.lit(0).cast("long"), "ewma", "n"))
+    rows = rows.withColumn("at", F.struct("later", "s"))
+    counts = rows.groupBy("k").agg(F.sum("n").alias("n"))
+    return O.ewma(rows, "k", "at", "x", alpha).join(counts, "k").select(F.col("k").alias(key), "n", "ewma")
+
+
+def run_ewma(events: DataFrame, key: str = "event_type", seq: str = "event_id", value: str = "value", alpha: float = ALPHA) -> DataFrame:
+    """key, n, ewma after all that the stream has now, batch by batch.
+
+    Each batch writes the state after it to a folder with the batch's number, which a repeated batch writes anew from the one
+    before; so the state survives what is lost, and is never on the driver.
+    """
+    spark = events.sparkSession
+    path = folder(spark, "ewma")
+    last: list[int] = []
+
+    def step(batch: DataFrame, number: int) -> None:
+        before = [n for n in last if n < number]
+        state = batch.sparkSession.read.parquet(f"{path}/state/{before[-1]}") if before else None
+        fold_ewma(batch, state, key, seq, value, alpha).write.mode("overwrite").parquet(f"{path}/state/{number}")
+        last[:] = [*before, number]
+
+    q = events.writeStream.foreachBatch(step).option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start()
+    try:
+        q.awaitTermination()
+    finally:
+        q.stop()
+    if not last:
+        return fold_ewma(spark.createDataFrame([], events.schema), None, key, seq, value, alpha)
+    return spark.read.parquet(f"{path}/state/{last[-1]}")
 
 
 def jaccard_steps(steps: DataFrame, least: float = 0.55, keep: int = 500) -> DataFrame:
-    """key, n, mean, passes of the likeness of consecutive token sets (key, seq, tokens), over the last keep; passes from 20 samples."""
+    """key, n, mean, passes of the likeness of consecutive token sets (key, seq, tokens), over the last keep; passes from 20 samples. A key is a session; its steps in a batch are put in order in one task."""
 
     def step(k, frames, state):
         last, seen = state.get if state.exists else ([], [])
@@ -52,10 +89,19 @@ def jaccard_steps(steps: DataFrame, least: float = 0.55, keep: int = 500) -> Dat
 
 
 def run_once(stream: DataFrame, name: str, mode: str) -> DataFrame:
-    """What a stream gives of all that is there now, through a table in memory."""
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    """What a stream gives of all that is there now: each batch's rows are files of its own; in complete mode only the last batch's count."""
+    spark = stream.sparkSession
+    path, done = folder(spark, name), []
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows/{number}")
+        done.append(number)
+
+    q = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start()
     try:
         q.awaitTermination()
     finally:
         q.stop()
-    return stream.sparkSession.table(name)
+    if not done:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.parquet(*[f"{path}/rows/{n}" for n in (sorted(set(done)) if mode != "complete" else [max(done)])])
