@@ -1,10 +1,11 @@
 """License scans by ordered signature rules, in DataFrame operations alone.
 
-A text is reduced to its lower-cased words with one space between. The rules are regular expressions on that: for each
-license of FAMILIES its name, its short identifiers and its versions in the ways notices write them, and its tell-tale
-sentences, each rule with a keyword that must occur before it is tried at all. Rules are ordered by priority; a detection
-that lies within another of the same or a better priority is suppressed, so that "apache license version 2 0" leaves nothing
-of "apache license", nor a named identifier anything of the identifier's words.
+A text is reduced to its lower-cased words with one space between. The rules, some hundreds written by hand in license_rules,
+are regular expressions on that: notices, choices of licenses, identifiers, names with versions, grants by a name, bare
+names, and places that speak of licenses without giving one. A rule is tried only where its keyword occurs, and a text only
+where any may. Rules are ordered by priority; a detection that lies within another of the same or a better priority is
+suppressed, so that "apache license version 2 0" leaves nothing of "apache license", nor "not licensed under the mit
+license" anything at all.
 """
 
 from __future__ import annotations
@@ -15,105 +16,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, id_text
+from .license_rules import KINDS
 
 #: The phrases that always count, with their labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
-
-#: Licenses: label, words of its name, its identifier's words, its versions (0 stands for none), a sentence only it has.
-FAMILIES = [
-    ("gpl", r"gnu general public license|gnu gpl|gplv?", "gpl", "1 0|2 0|3 0|2|3", r"this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
-    ("lgpl", r"gnu (?:lesser|library) general public license|lgplv?", "lgpl", "2 0|2 1|3 0|2|3", r"this library is free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license"),
-    ("agpl", r"gnu affero general public license|affero general public license|agplv?", "agpl", "1 0|3 0|3", r"interact with it remotely through a computer network"),
-    ("gfdl", r"gnu free documentation license", "gfdl", "1 1|1 2|1 3", r"permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),
-    ("apache", r"apache (?:software )?license|asl", "apache", "1 0|1 1|2 0|2", r"you may not use this file except in compliance with the license"),
-    ("mit", r"mit license|expat license|x11 license", "mit|mit 0|x11", "0", r"permission is hereby granted free of charge to any person obtaining a copy"),
-    ("bsd", r"(?:new |modified |simplified |revised )?bsd license|bsd (?:2|3|4) clause(?: license)?", "bsd (?:0|1|2|3|4) clause", "0", r"redistribution and use in source and binary forms with or without modification"),
-    ("isc", r"isc license", "isc", "0", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("mpl", r"mozilla public license|mplv?", "mpl", "1 0|1 1|2 0|2", r"this source code form is subject to the terms of the mozilla public license"),
-    ("epl", r"eclipse public license|epl", "epl", "1 0|2 0", r"this program and the accompanying materials are made available under the terms of the eclipse public license"),
-    ("cddl", r"common development and distribution license|cddl", "cddl", "1 0|1 1", r"subject to the terms of the common development and distribution license"),
-    ("cpl", r"common public license", "cpl", "1 0", r"made available under the terms of the common public license"),
-    ("eupl", r"european union public licen[cs]e|eupl", "eupl", "1 0|1 1|1 2", r"licensed under the eupl"),
-    ("artistic", r"artistic license|perl artistic license", "artistic", "1 0|2 0", r"the copyright holder retains some artistic control"),
-    ("boost", r"boost software license", "bsl", "1 0", r"distributed under the boost software license"),
-    ("zlib", r"zlib(?: libpng)? license", "zlib", "0", r"altered source versions must be plainly marked as such"),
-    ("unlicense", r"the unlicense", "unlicense", "0", r"this is free and unencumbered software released into the public domain"),
-    ("wtfpl", r"do what the fuck you want to public license|wtfpl", "wtfpl", "1|2", r"you just do what the fuck you want to"),
-    ("python", r"python software foundation license|psf license", "psf|python", "2 0|2|3", r"psf hereby grants licensee a nonexclusive royalty free"),
-    ("php", r"php license", "php", "3 0|3 01", r"this product includes php software"),
-    ("openssl", r"openssl license", "openssl", "0", r"this product includes software developed by the openssl project"),
-    ("ofl", r"sil open font license|open font license", "ofl", "1 0|1 1", r"this font software is licensed under the sil open font license"),
-    ("postgresql", r"postgresql license", "postgresql", "0", r"in no event shall the university of california be liable to any party"),
-    ("ms-pl", r"microsoft public license", "ms pl", "0", r"this license governs use of the accompanying software"),
-    ("ms-rl", r"microsoft reciprocal license", "ms rl", "0", r"reciprocal grants for any file you distribute"),
-    ("osl", r"open software license", "osl", "1 0|2 0|2 1|3 0", r"licensed under the open software license"),
-    ("afl", r"academic free license", "afl", "1 1|1 2|2 0|2 1|3 0", r"licensed under the academic free license"),
-    ("bsl", r"business source license|busl", "busl", "1 1", r"the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use"),
-    ("sspl", r"server side public license|sspl", "sspl", "1|1 0", r"licensed under the server side public license"),
-    ("elastic", r"elastic license", "elastic", "1 0|2 0|2", r"provide the software to third parties as a hosted or managed service"),
-    ("cecill", r"cecill(?: b| c)?(?: free software)? license", "cecill(?: b| c)?", "1 0|1 1|2 0|2 1", r"governed by the cecill(?: b| c)? license"),
-    ("odbl", r"open database license|odbl", "odbl", "1 0", r"made available under the open database license"),
-    ("odc-by", r"open data commons attribution license", "odc by", "1 0", r"made available under the open data commons attribution license"),
-    ("pddl", r"public domain dedication and license", "pddl", "1 0", r"made available under the public domain dedication and license"),
-    ("ogl", r"open government licence", "ogl(?: uk)?", "1 0|2 0|3 0", r"contains public sector information licensed under the open government licence"),
-    ("cc0", r"cc0|creative commons zero|cc zero", "cc0", "1 0", r"waived all copyright and related or neighboring rights"),
-    ("cc-by", r"cc by|creative commons attribution", "cc by", "1 0|2 0|2 5|3 0|4 0", r"licensed under a creative commons attribution (?:[0-9] [0-9] )?(?:international |unported )?license"),
-    ("cc-by-sa", r"cc by sa|creative commons attribution share ?alike", "cc by sa", "1 0|2 0|2 5|3 0|4 0", r"licensed under a creative commons attribution share ?alike"),
-    ("cc-by-nc", r"cc by nc|creative commons attribution non ?commercial", "cc by nc", "1 0|2 0|2 5|3 0|4 0", r"licensed under a creative commons attribution non ?commercial"),
-    ("cc-by-nd", r"cc by nd|creative commons attribution no ?deriv(?:ative)?s", "cc by nd", "1 0|2 0|2 5|3 0|4 0", r"licensed under a creative commons attribution no ?deriv"),
-    ("cc-by-nc-sa", r"cc by nc sa|creative commons attribution non ?commercial share ?alike", "cc by nc sa", "1 0|2 0|2 5|3 0|4 0", r"licensed under a creative commons attribution non ?commercial share ?alike"),
-    ("cc-by-nc-nd", r"cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:ative)?s", "cc by nc nd", "1 0|2 0|2 5|3 0|4 0", r"licensed under a creative commons attribution non ?commercial no ?deriv"),
-    ("public-domain", r"released into the public domain|dedicated to the public domain|in the public domain", "public domain", "0", r"no copyright is claimed"),
-    ("proprietary", r"all rights reserved|proprietary and confidential", "licenseref proprietary", "0", r"unauthorized copying of this file via any medium is strictly prohibited"),
-]
-
 #: Kinds of rules from the best priority on, with how sure a detection of the kind is.
-SURE = {"sentence": 0.95, "identifier": 0.95, "versioned": 0.9, "named": 0.7, "mention": 0.4}
-_PRIORITY = {k: i for i, k in enumerate(SURE)}
-
-
-def _keyword(pattern: str) -> str:
-    """The longest run of plain letters and spaces that every match has; '' for a pattern with alternatives at its top."""
-    import re
-
-    if "|" in re.sub(r"\([^()]*\)", "", pattern):
-        return ""
-    plain = re.sub(r"\([^()]*\)\??|\[[^\]]*\]|.\?", "\0", pattern)
-    return max((x.strip() for x in plain.split("\0")), key=len, default="")
+SURE = {k: sure for k, (_, sure) in KINDS.items()}
+#: Short words that many keywords hold; a text needs one of them, or one of the keywords without any, to be looked at.
+STEMS = ("licen", "copyright", "gpl", "public domain", "creative", "cc by", "cc0", "redistribut", "permission", "software", "rights reserved", "mpl", "bsd", "epl", "cddl")
 
 
 def rules() -> list[tuple[str, int, str, str]]:
-    """(keyword, priority, label, regex) in order, made from FAMILIES: some four rules for each name, identifier and sentence."""
+    """(keyword, priority, labels, regex) in order."""
     out = []
-    for label, names, ids, versions, sentence in FAMILIES:
-        out.append((_keyword(sentence), _PRIORITY["sentence"], label, sentence))
-        for i in _alternatives(ids):
-            v = "" if versions == "0" else f"(?: (?:{versions}))?"
-            out.append(("spdx", _PRIORITY["identifier"], label, f"spdx license identifier {i}{v}(?: only| or later)?"))
-        for name in _alternatives(names):
-            key = _keyword(name)
-            if versions != "0":
-                out.append((key, _PRIORITY["versioned"], label, f"{name},?(?: (?:version|v))? ?v?(?:{versions})(?: or (?:any )?later(?: version)?)?"))
-            lead = "(?:licensed|released|distributed|available|published|provided) under (?:the )?(?:terms of the )?"
-            out.append((key, _PRIORITY["named"], label, f"{lead}{name}"))
-            if len(name) > 5:
-                out.append((key, _PRIORITY["mention"], label, name))
-    return sorted(out, key=lambda r: (r[1], -len(r[3])))
-
-
-def _alternatives(pattern: str) -> list[str]:
-    """The alternatives at the top of a pattern."""
-    out, depth, last = [], 0, 0
-    for i, c in enumerate(pattern + "|"):
-        depth += (c == "(") - (c == ")")
-        if c == "|" and not depth:
-            out.append(pattern[last:i])
-            last = i + 1
+    for priority, (lines, _) in enumerate(KINDS.values()):
+        for line in filter(None, lines.split("\n")):
+            labels, keyword, regex = (x.strip() for x in f" {line}".split(" | ", 2))
+            out.append((keyword, priority, labels, regex))
     return out
 
 
-#: Words one of which any text with a license has: the first gate, before the rules' own keywords.
-GATE = ("licen", "copyright", "spdx", "cc by", "cc0", "gpl", "creative commons", "public domain", "redistribut", "rights reserved", "permission", "mozilla", "eclipse", "unencumbered", "proprietary", "wtfpl", "eupl", "odbl", "software", "asl ", "epl ", "cddl", "sspl", "busl", "mplv", " mpl", "remotely through", "bsd", "licensee", "artistic control", "reciprocal", "source form", "versions must be plainly", "what the fuck", "cc zero", "university of california", "unauthorized copying", " asl", " epl")
+def gate() -> list[str]:
+    """Words of which any text that a rule with a label can match holds one: each such rule's keyword holds one of them."""
+    keywords = sorted({k for k, _, labels, _ in rules() if labels}, key=len)
+    used = [s for s in STEMS if any(s in k for k in keywords)]
+    rest: list[str] = []
+    for k in keywords:
+        if not any(s in k for s in used + rest):
+            rest.append(k)
+    return used + rest
 
 
 def _places(norm: Column, pattern: Column) -> Column:
@@ -133,9 +64,11 @@ def licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Words are runs of digits, letters a-z (A-Z lower-cased) and all beyond ASCII. n_base counts the places of the BASE
     phrases, first_word and last_word are the smallest and largest words at which one starts (null without any).
-    detections: array of (label, priority, first word, number of words) that the rules leave after suppression, by place.
+    detections: array of (labels, priority, first word, number of words) that the rules leave after suppression, by place.
     base_labels and labels: distinct labels, sorted, joined by commas; labels has the rules' too. score: 1 less the product
-    of what each detected label leaves in doubt, 0 without labels. A null text is an empty one: no words, no labels.
+    of what each detected label leaves in doubt, 0 without labels. A null text is an empty one: no words, no labels. Rows
+    that repeat an id, or have none, are scanned like others. Only the two columns are read. An empty table gives an empty
+    table.
     """
     rows = id_text(docs, id_col, text_col)
     norm = F.concat(F.lit(" "), F.trim(F.regexp_replace(ascii_lower(F.coalesce("text", F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")), F.lit(" "))
@@ -157,11 +90,11 @@ def licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         "last_word": F.when(F.col("pieces").isNotNull(), n_words - (spaces(last) - 1) - F.size(F.split(F.element_at(F.regexp_extract_all("norm", F.lit(phrase), F.lit(1)), -1), " "))).cast("long"),
         "base_found": F.array_compact(F.array(*[F.when(F.contains(F.col("norm"), F.lit(f" {p} ")), F.lit(label)) for p, label in BASE.items()])),
     }
-    gate = reduce(lambda a, b: a | b, [F.contains(F.col("norm"), F.lit(w)) for w in GATE])
+    may = reduce(lambda a, b: a | b, [F.contains(F.col("norm"), F.lit(w)) for w in gate()])
     table = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(p).alias("p"), F.lit(label).alias("l"), F.lit(r).alias("r")) for k, p, label, r in rules()])
     tried = F.filter(table, lambda r: F.contains(F.col("norm"), r["k"]))
     found = F.flatten(F.transform(tried, lambda r: F.transform(_places(F.col("norm"), r["r"]), lambda m: F.struct(m["a"].alias("a"), (-m["b"]).alias("z"), r["p"].alias("p"), r["l"].alias("l")))))
-    rows = rows.withColumns(base).withColumn("found", F.when(gate, F.array_sort(found)))
+    rows = rows.withColumns(base).withColumn("found", F.when(may, F.array_sort(found)))
     # One pass in order of start, longest first: how far the detections of each priority have reached so far.
     ranks = range(len(SURE))
     start = F.struct(F.array(*[F.lit(-1) for _ in ranks]).alias("far"), F.array().cast("array<struct<a:int,z:int,p:int,l:string>>").alias("out"))
@@ -171,16 +104,17 @@ def licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         far = F.transform(s["far"], lambda x, i: F.when((i == d["p"]), F.greatest(x, -d["z"])).otherwise(x))
         return F.struct(F.when(inside, s["far"]).otherwise(far).alias("far"), F.when(inside, s["out"]).otherwise(F.concat(s["out"], F.array(d))).alias("out"))
 
-    kept = F.aggregate("found", start, step)["out"]
+    kept = F.filter(F.aggregate("found", start, step)["out"], lambda d: d["l"] != "")
     rows = rows.withColumn("kept", F.coalesce(kept, F.array().cast("array<struct<a:int,z:int,p:int,l:string>>")))
+    rows = rows.withColumn("each", F.flatten(F.transform("kept", lambda d: F.transform(F.split(d["l"], " "), lambda l: F.struct(l.alias("l"), d["p"].alias("p"))))))
     sure = F.array(*[F.lit(x) for x in SURE.values()])
-    best = F.transform(F.array_distinct(F.concat(F.transform("kept", lambda d: d["l"]), "base_found")), lambda l: F.struct(l.alias("l"), F.coalesce(F.array_min(F.transform(F.filter("kept", lambda d: d["l"] == l), lambda d: d["p"])), F.lit(len(SURE) - 1)).alias("p")))
+    best = F.transform(F.array_distinct(F.concat(F.transform("each", lambda d: d["l"]), "base_found")), lambda l: F.struct(l.alias("l"), F.coalesce(F.array_min(F.transform(F.filter("each", lambda d: d["l"] == l), lambda d: d["p"])), F.lit(len(SURE) - 1)).alias("p")))
     doubt = F.aggregate(best, F.lit(1.0), lambda x, b: x * (1 - F.element_at(sure, b["p"] + 1)))
     words_before = lambda a: (spaces(F.substring(F.col("norm"), F.lit(1), a)) - 1)
     detections = F.transform("kept", lambda d: F.struct(d["l"].alias("label"), d["p"].alias("priority"), words_before(d["a"]).cast("long").alias("first_word"), F.size(F.split(F.substring(F.col("norm"), d["a"] + 1, -d["z"] - d["a"]), " ")).cast("long").alias("words")))
     return rows.select(
         "doc_id", "n_words", "n_base", "first_word", "last_word",
         F.array_join(F.array_sort(F.array_distinct("base_found")), ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.array_distinct(F.concat("base_found", F.transform("kept", lambda d: d["l"])))), ",").alias("labels"),
+        F.array_join(F.array_sort(F.array_distinct(F.concat("base_found", F.transform("each", lambda d: d["l"])))), ",").alias("labels"),
         F.round(1 - doubt, 6).alias("score"), detections.alias("detections"),
     )
