@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import zlib
 from dataclasses import dataclass
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -23,10 +24,12 @@ from .common import id_text, map_batches, small_batches, texts
 BUCKETS, TERMS, FACTORS = 1 << 20, 1024, 8
 #: Labelled documents that are learned from, at most: those whose ids hash lowest. The fit alone is bounded so.
 TRAIN_ROWS = 20_000
-#: Documents of the sample in which a term must occur, passes over the sample, rows of a step, step size, shrinkage.
-LEAST_DOCS, EPOCHS, STEP_ROWS, RATE, SHRINK = 5, 15, 256, 0.02, 1e-5
-#: Steps at least; documents of the sample for each term kept, so that a small sample keeps few terms.
-LEAST_STEPS, ROWS_A_TERM = 800, 24
+#: Documents of the sample in which a term must occur, passes over the sample, rows of a step, step size, steps at least.
+LEAST_DOCS, EPOCHS, STEP_ROWS, RATE, LEAST_STEPS = 5, 15, 256, 0.02, 800
+#: What is chosen by a split of the sample, the first where they tie: documents for each term kept (a small sample keeps few terms), and the vectors' shrinkage.
+ROWS_A_TERM, SHRINK = (24, 8, 72), (1e-3, 1e-5)
+#: Every so manieth document of the sample is set aside for that choice.
+SET_ASIDE = 5
 #: Scores from this one on count as toxic.
 THRESHOLD = 0.7
 
@@ -49,15 +52,18 @@ class Machine:
     weight: np.ndarray
     vectors: np.ndarray
 
-    def score(self, text: str) -> float:
-        rows = self.slot[terms(text)]
+    def odds(self, found: np.ndarray) -> float:
+        """The log odds of a document with these buckets."""
+        rows = self.slot[found]
         rows = rows[rows >= 0]
         v = self.vectors[rows]
-        z = self.bias + self.weight[rows].sum() + 0.5 * ((v.sum(0) ** 2).sum() - (v**2).sum())
-        return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+        return float(self.bias + self.weight[rows].sum() + 0.5 * ((v.sum(0) ** 2).sum() - (v**2).sum()))
+
+    def score(self, text: str) -> float:
+        return float(1 / (1 + np.exp(-np.clip(self.odds(terms(text)), -30, 30))))
 
 
-def fit(found: list[np.ndarray], label: np.ndarray) -> Machine:
+def fit(found: list[np.ndarray], label: np.ndarray, rows_a_term: int = ROWS_A_TERM[0], shrink: float = SHRINK[0]) -> Machine:
     """The machine for documents' buckets and labels 0 or 1. With one label only, or none, every score is the labels' smoothed mean."""
     slot = np.full(BUCKETS, -1, np.int16)
     n, toxic = len(label), float(label.sum())
@@ -74,7 +80,7 @@ def fit(found: list[np.ndarray], label: np.ndarray) -> Machine:
     one, all_ = one[often].astype(np.float64), all_[often].astype(np.float64)
     expected = all_ * toxic / n
     gain = (one - expected) ** 2 / np.maximum(expected * (1 - toxic / n) * (1 - all_ / (n + 1)), 1e-9)
-    best = np.argsort(-gain, kind="stable")[: min(TERMS, max(16, n // ROWS_A_TERM))]
+    best = np.argsort(-gain, kind="stable")[: min(TERMS, max(16, n // rows_a_term))]
     kept = np.sort(often[best[gain[best] > 0]])
     slot[kept] = np.arange(len(kept))
     rows = [(r := slot[x])[r >= 0] for x in found]
@@ -94,7 +100,7 @@ def fit(found: list[np.ndarray], label: np.ndarray) -> Machine:
             z = b[0] + x @ w + 0.5 * ((s**2).sum(1) - (x @ (v**2)).sum(1))
             g = ((1 / (1 + np.exp(-np.clip(z, -30, 30)))) - label[part]).astype(np.float32) / len(part)
             xg = x * g[:, None]
-            grads = [np.array([g.sum()], np.float32), x.T @ g + SHRINK * w, x.T @ (g[:, None] * s) - xg.sum(0)[:, None] * v + SHRINK * v]
+            grads = [np.array([g.sum()], np.float32), x.T @ g + SHRINK[-1] * w, x.T @ (g[:, None] * s) - xg.sum(0)[:, None] * v + shrink * v]
             step += 1
             for p, d, m, u in zip(params, grads, first, second, strict=True):
                 m += 0.1 * (d - m)
@@ -103,13 +109,32 @@ def fit(found: list[np.ndarray], label: np.ndarray) -> Machine:
     return Machine(slot, float(params[0][0]), params[1], params[2])
 
 
+def tuned(found: list[np.ndarray], label: np.ndarray) -> Machine:
+    """fit() with what of ROWS_A_TERM and SHRINK, fitted to the others, gives the documents set aside the least log loss; then fitted to all."""
+    aside = np.arange(len(label)) % SET_ASIDE == 0
+    others = [x for x, a in zip(found, aside, strict=True) if not a]
+    if min(label[aside].sum(), (1 - label[aside]).sum(), label[~aside].sum(), (1 - label[~aside]).sum()) < 1:
+        return fit(found, label)
+
+    def loss(way):
+        machine = fit(others, label[~aside], *way)
+        z = np.array([machine.odds(x) for x, a in zip(found, aside, strict=True) if a])
+        return float(np.logaddexp(0, np.where(label[aside] > 0, -z, z)).mean())
+
+    return fit(found, label, *min(product(ROWS_A_TERM, SHRINK), key=loss))
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether a document's label must not be learned from: crc32 of its id as text leaves 1 when divided by 3. A null id isn't held out."""
     return F.coalesce(F.crc32(doc_id.cast("long").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Machine:
-    """The machine fitted to at most TRAIN_ROWS labelled documents that are not held out; null ids and labels are left out, of repeated ids one is used."""
+    """The machine fitted to at most TRAIN_ROWS labelled documents that are not held out.
+
+    Null ids and labels are left out; of an id's labels the largest counts, of its texts the one whose terms hash lowest.
+    Empty tables, of documents or labels, give a machine whose score is the same for every text.
+    """
     ids = labels.where(labels[label_col].isNotNull() & labels[id_col].isNotNull() & ~held_out(labels[id_col]))
     ids = ids.groupBy(ids[id_col].cast("long").alias("doc_id")).agg(F.max(ids[label_col].cast("int")).alias("label"))
     rows = id_text(docs, id_col, text_col).selectExpr("cast(doc_id AS long) AS doc_id", "text")
@@ -117,18 +142,25 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
 
     def run(batch):
-        return {"doc_id": batch.column("doc_id"), "label": batch.column("label"), "found": [terms(t) for t in texts(batch)]}
+        found = [terms(t) for t in texts(batch)]
+        return {"doc_id": batch.column("doc_id"), "label": batch.column("label"), "mark": [zlib.crc32(x.tobytes()) for x in found], "found": found}
 
-    sample = map_batches(rows.join(F.broadcast(ids), "doc_id"), run, "doc_id long, label int, found array<int>").toArrow().combine_chunks()
-    id_, label = sample.column("doc_id").to_numpy(), sample.column("label").to_numpy().astype(np.float32)
+    sample = map_batches(rows.join(F.broadcast(ids), "doc_id"), run, "doc_id long, label int, mark long, found array<int>")
+    sample = sample.groupBy("doc_id", "mark").agg(F.first("label").alias("label"), F.first("found").alias("found")).toArrow().combine_chunks()
+    id_, mark, label = (sample.column(c).to_numpy() for c in ("doc_id", "mark", "label"))
     lists = sample.column("found").combine_chunks()
     at, values = lists.offsets.to_numpy(), lists.values.to_numpy()
-    order = np.unique(id_, return_index=True)[1]  # by id, repeated ids once
-    return fit([values[at[i] : at[i + 1]] for i in order], label[order])
+    order = np.lexsort((mark, id_))
+    order = order[np.unique(id_[order], return_index=True)[1]]
+    return tuned([values[at[i] : at[i + 1]] for i in order], label[order].astype(np.float32))
 
 
 def scores(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, score, predicted: one row for each row. A null text is an empty one; its score is that of no terms."""
+    """doc_id, held_out, score, predicted: one row for each row, repeated ids and null ones like others.
+
+    A null text is an empty one; its score is that of no terms. Only the two columns are read. An empty table gives an
+    empty table.
+    """
     def run(batch):
         return {"doc_id": batch.column("doc_id"), "score": [machine.score(t) for t in texts(batch)]}
 
@@ -137,9 +169,9 @@ def scores(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col:
 
 
 def clean(docs: DataFrame, machine: Machine, text_col: str = "text") -> DataFrame:
-    """The rows of docs, as they are, whose text scores below THRESHOLD."""
+    """The rows of docs, as they are, whose text scores below THRESHOLD: null and empty texts as one without terms, repeated rows alike. Columns may have any names."""
     @pandas_udf("double")
     def score(text: pd.Series) -> pd.Series:
         return text.map(lambda t: machine.score(t or ""))
 
-    return small_batches(docs).where(score(F.col(text_col)) < THRESHOLD)
+    return small_batches(docs).where(score(F.col(f"`{text_col}`")) < THRESHOLD)
