@@ -2,7 +2,7 @@
 
 A document's text is the first layer. Every layer is scanned; then the encoded parts in it (runs of URL escapes, of Unicode
 and character escapes, base64, and compressed data within base64) are unwrapped into further layers, until no layer gives
-a new one. Each content is unwrapped once in a document, so that a layer that unwraps to itself ends; what is found in it
+a new one. Text in UTF-16 is read too. Each content is unwrapped once in a document, so that a layer that unwraps to itself ends; what is found in it
 is handed up to every place where it stands, step by step, since each layer knows where in the layer above its characters
 came from. So a span found in any layer is given in the text's own code points.
 """
@@ -56,6 +56,9 @@ _LINE_END = re.compile(rb"(?:\r?\n|(?:\\r)?\\n)[ \t>]*")
 _STANDARD = bytes.maketrans(b"-_", b"+/")
 #: UTF-8 that can be read, in bytes that can't as a whole.
 _TEXT = re.compile(rb"(?:[\t\n\r\x20-\x7e]|[\xc3-\xdf][\x80-\xbf]|[\xe1-\xec][\x80-\xbf]{2}){8,}")
+#: Text in UTF-16, of either order, as far as it is ASCII; and what is left of it elsewhere.
+_WIDE = (re.compile(rb"(?:[\t\n\r\x20-\x7e]\x00){8,}"), re.compile(rb"(?:\x00[\t\n\r\x20-\x7e]){8,}"))
+_NULS = re.compile("\0+")
 _ONE_ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]+)\}|\\[uUx]([0-9A-Fa-f]+)|&#([0-9]+);|&#[xX]([0-9A-Fa-f]+);")
 
 
@@ -249,7 +252,7 @@ def _opened(data: bytes) -> Iterator[tuple[str, bool, bool]]:
         if key in seen:
             continue
         seen.add(key)
-        if len(seen) > 1 and (text := _readable(data)):
+        if len(seen) > 1 and (text := _readable(data) or _narrowed(data)):
             yield text, False, False
         if _opener(data) is None:
             continue
@@ -276,6 +279,8 @@ def _opened(data: bytes) -> Iterator[tuple[str, bool, bool]]:
         if depth == MOST_NESTED:
             yield "", True, True
         for text, whole in _windows(flow):
+            if 4 * text.count("\0") > len(text):  # UTF-16
+                text = text.replace("\0", "")
             if _mostly(text):
                 yield text, True, whole
         for n, left in enumerate(lefts):
@@ -284,6 +289,14 @@ def _opened(data: bytes) -> Iterator[tuple[str, bool, bool]]:
                 yield "", True, True
 
 
+def _narrowed(data: bytes) -> str | None:
+    """data in UTF-16 as text, as far as it is ASCII: every other byte is zero then."""
+    if 4 * data.count(0) <= len(data):
+        return None
+    text = data.replace(b"\0", b"").decode("utf-8", "replace").lstrip("\ufffd")
+    return text if _mostly(text) else None
+
+
 def _mostly(text: str) -> bool:
     """Whether nearly all of a text is printable."""
     odd = sum(text.count(c) for c in map(chr, [*range(9), 11, 12, *range(14, 32), 127, 0xFFFD]))
@@ -291,7 +304,7 @@ def _mostly(text: str) -> bool:
 
 
 def _readable(data: bytes) -> str | None:
-    """data as text, if it is UTF-8 and nearly all of it is printable."""
+    """data as text, if it is UTF-8, and nearly all of it is printable."""
     try:
         text = data.decode("utf-8")
     except UnicodeDecodeError:
@@ -352,6 +365,8 @@ def _unwrapped(text: str, depth: int) -> Below:
         out.layers.append(x)
     if ("\\" in text or "&#" in text) and (x := _rewritten(text, _ESCAPE, _escape)):
         out.layers.append(x)
+    if "\0" in text and (x := _rewritten(text, _NULS, lambda m: ("", m.start(), m.end()))):
+        out.layers.append(x)
     for sign, run, decode in (("%", _URL_RUN, _url_bytes), ("\\", _ESCAPE_RUN, _escaped_bytes)):
         if sign in text:
             for m in run.finditer(text):
@@ -420,6 +435,12 @@ def _decoded(run: bytes, at: np.ndarray | None, first: int, out: Below, depth: i
                 done = b if out.open(data[a:b], first + int(place(x)), first + int(place(y - 1)) + 1, depth) else done
         for m in _TEXT.finditer(data):
             characters(m[0].decode("utf-8"), m.start())
+        if b"\0" in data:
+            for order, wide in enumerate(_WIDE):
+                for m in wide.finditer(data):
+                    content = m[0][order::2].decode("ascii")
+                    lo = m.start() + 2 * np.arange(len(content))
+                    part(content, lo, lo + 2)
 
 
 def scan(text: str, depth: int = 0) -> Found:
@@ -427,7 +448,7 @@ def scan(text: str, depth: int = 0) -> Found:
     base = base_spans(text)
     base.sort(key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
     found = Found(list(base), base)
-    if not ("%" in text or "\\" in text or "&#" in text or _BASE64.search(text.encode("utf-8", "surrogatepass"))):
+    if not ("%" in text or "\\" in text or "&#" in text or "\0" in text or _BASE64.search(text.encode("utf-8", "surrogatepass"))):
         return found
     # The distinct contents: spans of each, and the layers by which it stands in others.
     number = {hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest(): 0}
@@ -466,11 +487,11 @@ def joined(spans) -> str:
 
 
 def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base (the base spans), spans (all), n_layers, n_cut: one row for each row of docs.
+    """doc_id, n_assign, n_access, n_hex, base (the base spans), spans (all), n_layers, n_cut: one row for each row of docs; of an empty table none.
 
     base and spans list kind:start:end in code points, end exclusive, ordered by start, then kind, joined by commas. A
     null text counts as empty: no spans, as for texts without any. n_layers: layers opened below the text; n_cut: places
-    in them where a bound was met: a run without a gap across a window's end, or too many long layers within each other. Rows with repeated or null ids are scanned like any other.
+    in them where a bound was met: a run without a gap across a window's end, or too many long layers within each other. Rows with repeated or null ids are scanned like any other. Only the two columns are read.
     """
     def run(batch):
         all_ = [scan(t) for t in texts(batch)]
@@ -500,9 +521,9 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]") -> DataFrame:
-    """docs with the secrets of its texts replaced by mark; a null text stays null, other columns and all rows stay."""
+    """docs with the secrets of its texts replaced by mark; a null text stays null, an empty one empty. Other columns, of any names, and all rows stay; an empty table stays empty."""
     @pandas_udf("string")
     def clean(text: pd.Series) -> pd.Series:
         return text.map(lambda t: redacted(t, mark) if t else t)
 
-    return small_batches(docs).withColumn(text_col, clean(F.col(text_col)))
+    return small_batches(docs).withColumn(text_col, clean(F.col(f"`{text_col}`")))
