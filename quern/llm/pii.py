@@ -1,9 +1,10 @@
 """Personal data: plain patterns, and a semi-Markov conditional random field that adds what they miss.
 
-The field scores whole candidate spans (their shape, digits, checksums, what stands beside them, words before them), and
-dynamic programming over segments of at most MOST_TOKENS tokens chooses boundaries and types together. It is fitted here, on
+The field scores whole candidate spans (their shape, digits, what stands beside them, words before them), and dynamic
+programming over segments of at most MOST_TOKENS tokens chooses boundaries and types together. It is fitted here, on
 sentences made from templates by a fixed seed, which hold entities in many forms and numbers that are none. A text is
-decoded only around digits and addresses, spelt out or not; elsewhere no span can be an entity, so nothing is lost.
+decoded only around digits and addresses, spelt out or not; elsewhere no span can be an entity. Where no candidate covers a
+token the sequence is cut, which changes nothing in its best segmentation; so work and memory grow with the text alone.
 """
 
 from __future__ import annotations
@@ -11,8 +12,10 @@ from __future__ import annotations
 import math
 import random
 import re
-from collections import defaultdict
-from functools import cache
+from bisect import bisect_right
+from collections import defaultdict, deque
+from collections.abc import Iterator
+from functools import cache, lru_cache
 
 from pyspark.sql import DataFrame
 
@@ -21,8 +24,8 @@ from .common import id_text, map_batches, texts
 #: Kinds in the order in which they are listed; the last label is of tokens outside entities.
 KINDS = ("email", "ip", "card", "phone")
 OUTSIDE = len(KINDS)
-#: Tokens of an entity at most; sentences and passes of the fit; its step and shrinkage; log odds that an added span needs over none.
-MOST_TOKENS, SENTENCES, PASSES, STEP, SHRINK, MARGIN = 17, 500, 6, 0.3, 1e-3, 2.0
+#: Tokens, characters, digits and groups of digits of an entity at most; sentences and passes of the fit; its step and shrinkage; log odds that an added span needs over none.
+MOST_TOKENS, MOST_CHARS, MOST_DIGITS, MOST_GROUPS, SENTENCES, PASSES, STEP, SHRINK, MARGIN = 21, 320, 19, 6, 1200, 4, 0.3, 1e-3, 2.0
 
 _IP = re.compile(rb"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(rb"[0-9](?:[\x20-]?[0-9])+")
@@ -80,24 +83,28 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 _TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|\s+|.", re.S)
 _AT = r"(?:@|\s?[\[({]\s?at\s?[\])}]\s?|\sat\s)"
 _DOT = r"(?:\.|\s?[\[({]\s?dot\s?[\])}]\s?|\sdot\s)"
-_MAIL_FORM = re.compile(rf"[A-Za-z0-9%+-]+(?:[._][A-Za-z0-9%+-]+)*{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+", re.I)
-#: What an address that is spelt out has: 'dot' or an 'at' in brackets; a plain ' at ' needs a ' dot ' before its ending.
-_SPELT = re.compile(r"[\[({]\s?(?:at|dot)\s?[\])}]|\sdot\s", re.I)
+_WORD = r"[A-Za-z0-9%+-]{1,64}"
+_MAIL_FORM = re.compile(rf"{_WORD}(?:(?:_|{_DOT}){_WORD})*{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+", re.I)
+#: An 'at' that is spelt out, what may stand before it, and the domain behind it: with a bracket or a ' dot ' somewhere.
+_SPELT_AT = re.compile(r"\s?[\[({]\s?at\s?[\])}]\s?|\sat\s", re.I)
+_SPELT_LOCAL = re.compile(rf"(?<!\S)(?:{_WORD}(?:_|{_DOT}))*{_WORD}\Z", re.I)
+_SPELT_DOMAIN = re.compile(rf"[A-Za-z0-9-]{{1,63}}(?:{_DOT}[A-Za-z0-9-]{{1,63}}){{1,8}}", re.I)
+_SPELT_DOT = re.compile(r"[\[({]\s?dot\s?[\])}]|\sdot\s", re.I)
 _NUMBER_FORM = re.compile(r"[+(]?[0-9](?:[\s().\-/]*[0-9])*")
-#: A stretch of chunks with a digit or an @, or of an address that is spelt out.
-_STRETCH = re.compile(rf"[^\s]*[0-9@][^\s]*(?:[  ][^\s]*[0-9@][^\s]*)*|(?<!\S)\S{{1,64}}{_AT}\S{{1,255}}?(?:{_DOT}[A-Za-z0-9-]{{1,63}})+", re.I)
-_SIMPLE = re.compile(r"\S*[0-9@]\S*(?:[  ]\S*[0-9@]\S*)*")
+_MARK, _GAP = re.compile("[0-9@]"), re.compile(r"\s")
 #: Words before a span that say something of it, in natural order of their kinds.
 CUES = {
-    "email": ("email", "e-mail", "mail", "contact"),
+    "email": ("email", "e-mail", "mail", "contact", "courriel", "correo"),
     "ip": ("ip", "host", "server", "address"),
-    "card": ("card", "visa", "mastercard", "amex", "credit"),
-    "phone": ("phone", "tel", "telephone", "call", "fax", "mobile", "cell"),
-    "none": ("order", "id", "ref", "invoice", "version", "isbn", "build", "page", "date", "on", "since", "item", "serial"),
+    "card": ("card", "visa", "mastercard", "amex", "credit", "karte", "kreditkarte", "carte", "tarjeta"),
+    "phone": ("phone", "tel", "telephone", "call", "fax", "mobile", "cell", "ring", "dial", "reach", "text", "whatsapp", "telefon", "handy", "rufnummer", "tél", "téléphone", "appelez", "teléfono", "móvil", "llame"),
+    "none": ("order", "id", "ref", "reference", "invoice", "version", "isbn", "issn", "build", "page", "date", "item", "serial", "iban", "account", "vat", "part", "code", "case", "ticket", "tracking", "room", "bestellung", "rechnung", "konto", "commande", "facture", "compte", "pedido", "factura", "cuenta"),
 }
 #: Last labels of addresses that are spelt out in plain words.
 ENDINGS = ("com", "org", "net", "edu", "gov", "io", "info", "example", "de", "fr", "es", "uk", "eu")
 _CUE = {w: k for k, words in CUES.items() for w in words}
+#: Characters before a stretch in which words are looked for, and tokens for which a word says something.
+BEFORE, HOLDS = 60, 14
 
 
 def _shape(s: str) -> str:
@@ -107,68 +114,112 @@ def _shape(s: str) -> str:
     return "".join(out)
 
 
-def _candidate(s: str) -> tuple[int, ...]:
-    """The types that a span may have at all."""
+def _candidate(s: str, left: str, right: str) -> tuple[int, ...]:
+    """The types that a span may have at all, between two characters ('' at an end). Numbers aren't parts of words, and cards pass their checksum."""
     if "@" in s or s[:1].isalpha() and s[-1:].isalnum():
         plain = "@" in s or any(c in s for c in "[({")  # else the ending must be one that addresses have
         return (0,) if _MAIL_FORM.fullmatch(s) and (plain or s.lower().rpartition(" ")[2] in ENDINGS) else ()
-    if not _NUMBER_FORM.fullmatch(s):
+    if left.isalnum() or right.isalnum() or left == "_" or not _NUMBER_FORM.fullmatch(s):
+        return ()
+    groups = re.findall("[0-9]+", s)
+    digits = "".join(groups)
+    if len(groups) > MOST_GROUPS:
         return ()
-    digits = sum(map(str.isdigit, s))
     out = []
     if s.count(".") == 3 and re.fullmatch(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}", s):
         out.append(1)
-    if 13 <= digits <= 19 and s[0].isdigit() and not set("()/") & set(s):
+    if 13 <= len(digits) <= MOST_DIGITS and s[0].isdigit() and not set("()/") & set(s) and luhn(digits):
         out.append(2)
-    if 7 <= digits <= 15:
+    if 7 <= len(digits) <= 15:
         out.append(3)
     return tuple(out)
 
 
-def _features(s: str, left: str, right: str, cue: str) -> list[str]:
+def _neighbour(text: str, at: int, step: int) -> str:
+    """What stands next to a span, behind one space: a number, something like the beginning of an IBAN, a 'dot' or 'at', another word or nothing."""
+    x = text[at:at + 8] if step > 0 else text[max(0, at - 8) : at]
+    if not x or not x[0 if step > 0 else -1].isspace():
+        return "none"
+    x = x.strip()
+    if step < 0 and re.search(r"(?:^|\s)[A-Z]{2}[0-9]{2}\Z", x):
+        return "iban"
+    w = re.search(r"\A[^\W\d_]+" if step > 0 else r"[^\W\d_]+\Z", x)
+    if w and w[0].lower() in ("dot", "at"):
+        return "dot"
+    c = x[:1] if step > 0 else x[-1:]
+    return "digit" if c.isdigit() else "word" if c.isalpha() else "other"
+
+
+@lru_cache(1 << 16)
+def _features(s: str, left: str, right: str, before: str, after: str, cue: str) -> list[str]:
+    """What is said of a span: between two kinds of characters, behind and before two kinds of neighbours, near a word of a kind."""
     digits = "".join(filter(str.isdigit, s))
-    out = ["bias", f"n={len(digits)}", f"cue={cue}", f"left={_beside(left)}", f"right={_beside(right)}", f"shape={_shape(s)}", f"plus={s[0] == '+'}", f"cut={left[-1:].isalnum() or right[:1].isalnum()}"]
-    if 13 <= len(digits) <= 19:
-        out.append(f"luhn={luhn(digits)}")
-    if s.count(".") == 3 and "@" not in s:
-        out.append(f"ip={all(p.isdigit() and int(p) <= 255 for p in s.split('.'))}")
-    if "@" in s:
-        out.append("at")
     groups = [len(g) for g in re.findall("[0-9]+", s)]
-    out.append(f"groups={len(groups)},{groups[-1] if groups else 0}")
-    out.append(f"seps={''.join(sorted(set(c for c in s if not c.isalnum())))}" if len(s) < 40 else "long")
+    out = ["bias", f"n={len(digits)}", f"cue={cue}", f"left={left}", f"right={right}", f"shape={_shape(s)}", f"plus={s[0] == '+'}", f"before={before}", f"after={after}"]
+    if "@" in s or s[-1].isalpha():
+        out.append("at=" + ("sign" if "@" in s else "bracket" if set("[({") & set(s) else "plain"))
+    elif digits and s[-1].isdigit():
+        zero = digits[0] == "0"
+        out += [f"zero={zero}", f"zero={zero},n={len(digits)}", f"cue={cue},n={len(digits)}", f"cue={cue},groups={min(len(groups), 6)}", f"groups={'-'.join(map(str, groups[:6]))}", f"bracket={s[0] == '('}"]
+        if s.count(".") == 3:
+            out.append(f"ip={all(p.isdigit() and int(p) <= 255 for p in s.split('.'))}")
+        out.append(f"seps={''.join(sorted(set(c for c in s if not c.isalnum())))},{len(groups)}")
+        out.append(f"year={len(groups[0:1]) and groups[0] == 4 and s[:2] in ('19', '20')}")
     return out
 
 
 def _beside(c: str) -> str:
-    c = c[-1:] if c[-1:] == c else c
     return "edge" if not c else "space" if c.isspace() else "digit" if c.isdigit() else "letter" if c.isalpha() else c
 
 
-def _lattice(text: str, start: int, end: int):
-    """Tokens of text[start:end] as (a, b), and the entity segments (first token, token after the last, type, features)."""
-    tokens = [(start + m.start(), start + m.end()) for m in _TOKEN.finditer(text[start:end])]
-    segments = []
-    before = re.findall(r"[^\W\d_][\w-]*", text[max(0, start - 40) : start])[-2:]
-    first_cue = next((_CUE[w.lower()] for w in reversed(before) if w.lower() in _CUE), "")
-    cue = first_cue
-    for i, (a, b) in enumerate(tokens):
-        head = text[a:b]
+def _pieces(text: str, start: int, end: int) -> Iterator[tuple[list, list]]:
+    """The parts of a stretch that candidates cover, with the token behind each: tokens as (a, b), and segments (first token, token after the last, type, features)."""
+    stream, window = _TOKEN.finditer(text, start, end), deque()
+    mail = "@" in text[start:end] or bool(_SPELT_AT.search(text, start, end))
+    before = re.findall(r"[^\W\d_][\w-]*", text[max(0, start - BEFORE) : start])[-6:]
+    cue, left = next(((_CUE[w.lower()], HOLDS - 2 * n) for n, w in enumerate(reversed(before)) if w.lower() in _CUE), ("", 0))
+    tokens: list = []
+    segments: list = []
+    i = reach = 0
+    while True:
+        while len(window) < MOST_TOKENS and (m := next(stream, None)) is not None:
+            window.append(m.span())
+        if not window:
+            break
+        a, b = window[0]
+        head = text[a : min(b, a + MOST_CHARS)]
+        left -= 1
         if head.isalpha() and head.lower() in _CUE:
-            cue = _CUE[head.lower()]
-        if not (head[0].isalnum() or head in "+("):
-            continue
-        for j in range(i, min(len(tokens), i + MOST_TOKENS)):
-            tail = text[tokens[j][0] : tokens[j][1]]
-            if not tail[0].isalnum():
-                continue
-            z = tokens[j][1]
-            s = text[a:z]
-            types = _candidate(s)
-            if types:
-                f = _features(s, text[a - 1 : a] if a else "", text[z : z + 1], cue)
-                segments += [(i, j + 1, y, f) for y in types]
-    return tokens, segments
+            cue, left = _CUE[head.lower()], HOLDS
+        found = []
+        if head[0].isalnum() or head[0] in "+(":
+            digits = groups = 0
+            for j, (x, z) in enumerate(window):
+                first = text[x]
+                if z - a > MOST_CHARS or not mail and first.isalpha():
+                    break
+                if first.isdigit():
+                    digits, groups = digits + z - x, groups + 1
+                    if not mail and (digits > MOST_DIGITS or groups > MOST_GROUPS):
+                        break
+                if not mail and digits < 7 and groups != 4:  # neither a phone's digits nor an ip's parts
+                    continue
+                beside = text[a - 1 : a] if a else "", text[z : z + 1]
+                if first.isalnum() and (types := _candidate(s := text[a:z], *beside)):
+                    f = _features(s, *map(_beside, beside), _neighbour(text, a, -1), _neighbour(text, z, 1), cue if left > 0 else "")
+                    found += [(i + j + 1, y, f) for y in types]
+        if found or tokens:
+            base = i - len(tokens)
+            tokens.append((a, b))
+            segments += [(i - base, j - base, y, f) for j, y, f in found]
+            reach = max([reach, *(j for j, _, _ in found)])
+            if i >= reach:  # no candidate covers this token
+                yield tokens, segments
+                tokens, segments = [], []
+        window.popleft()
+        i += 1
+    if tokens:
+        yield tokens, segments
 
 
 class Field:
@@ -276,6 +327,9 @@ def _sentences(seed: int = 11):
     digits = lambda n: "".join(r.choices("0123456789", k=n))
     word = lambda: "".join(r.choices("abcdefghilmnoprstuv", k=r.randint(2, 9)))
 
+    def filled(form):
+        return "".join(r.choice("0123456789") if c == "d" else r.choice("23456789") if c == "n" else c for c in form)
+
     def card():
         body = r.choice("3456") + digits(r.choice([14, 14, 14, 13, 12]))
         full = next(body + c for c in "0123456789" if luhn(body + c))
@@ -283,32 +337,41 @@ def _sentences(seed: int = 11):
         return sep.join(full[i : i + 4] for i in range(0, len(full), 4))
 
     def phone():
-        a, b, c = digits(3), digits(3), digits(4)
-        return r.choice([f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"({a}){b}-{c}", f"+1 ({a}) {b}-{c}", f"1-{a}-{b}-{c}", f"00{digits(2)} {a} {b}{c}", f"+{digits(2)} {digits(2)} {digits(4)} {c}", f"{a}/{b}-{c}", f"0{digits(2)} {digits(4)} {digits(4)}"])
+        """National and international forms; those that other numbers share mostly stand behind a word for them."""
+        sure = ["(ndd) ndd-dddd", "ndd-ndd-dddd", "ndd.ndd.dddd", "(ndd)ndd-dddd", "+1 (ndd) ndd-dddd", "1-ndd-ndd-dddd", "00nd nd ddd dddd", "+nd nd dddd dddd", "0nd/ddddddd", "0nd/ndd-dddd", "0nd nddd dddd", "0nddd dddddd", "0n dd dd dd dd", "0ndd-dddddd", "(0nd) ndddddd", "(0nd) nddd dddd", "0nd-nddd-dddd", "0n.dd.dd.dd.dd"]
+        other = ["ndd ndd dddd", "nd ddd dd dd", "ndd dd dd dd", "ndd ddd ddd", "ndd-dddd", "nddddddddd", "0nddddddddd"]
+        return filled(r.choice(sure)) if r.random() < 0.7 else (filled(r.choice(other)),)
 
     def mail():
-        at, dot = r.choice([("@", "."), ("@", "."), (" [at] ", " [dot] "), ("(at)", "(dot)"), (" at ", " dot "), ("[at]", "[dot]"), ("[at]", ".")])
-        return word() + r.choice(["", "." + word(), digits(2)]) + at + dot.join([word(), r.choice(["com", "org", "net", "example"])])
+        at, dot = r.choice([("@", "."), ("@", "."), (" [at] ", " [dot] "), ("(at)", "(dot)"), (" at ", " dot "), ("[at]", "[dot]"), ("[at]", "."), (" at ", " dot ")])
+        local = word() + r.choice(["", r.choice([".", dot, "_"]) + word(), digits(2)])
+        return local + at + dot.join([word(), *r.choice([["com"], ["org"], ["net"], ["example"], ["co", "uk"]])])
 
     def ip():
         return ".".join(str(r.randint(0, 255)) for _ in range(4))
 
     def none():
+        """Numbers of other kinds: dates, times, amounts, identifiers, account and article numbers, ranges, lists."""
         long_ = digits(r.randint(13, 19))
         if luhn(long_):
             long_ = long_[:-1] + str((int(long_[-1]) + 1) % 10)
-        return r.choice([f"20{digits(2)}-{r.randint(1, 12):02}-{r.randint(1, 28):02}", f"{digits(2)}:{digits(2)}:{digits(2)}", f"{digits(1)}.{digits(1)}.{digits(2)}", f"{digits(2)},{digits(3)}.{digits(2)}", digits(r.randint(1, 12)), long_, f"{r.randint(256, 999)}.{digits(2)}.{digits(1)}.{digits(3)}", f"{r.randint(1, 28):02}/{r.randint(1, 12):02}/20{digits(2)}", f"978-{digits(1)}-{digits(4)}-{digits(4)}-{digits(1)}", f"{digits(4)} {digits(4)}", f"{digits(3)} {digits(3)}", f"v{digits(1)}.{digits(1)}.{digits(1)}.{digits(1)}", f"#{digits(8)}", f"{word()}{digits(5)}", f"${digits(4)}.{digits(2)}", f"{digits(4)}-{digits(4)}", f"{digits(2)} {digits(2)} {digits(2)} {digits(2)}", f"{digits(5)}-{digits(4)}", f"{digits(3)}-{digits(2)}", "20" + digits(2) + " 20" + digits(2), " ".join(digits(r.randint(1, 3)) for _ in range(r.randint(3, 9))), digits(r.choice([7, 8, 10, 11]))])
+        wrong = " ".join(long_[i : i + 4] for i in range(0, 16, 4))
+        iban = r.choice(["DE", "FR", "ES", "GB", "IT"]) + digits(2) + "".join(r.choice([" ", " ", ""]) + digits(4) for _ in range(r.randint(2, 5))) + r.choice(["", " " + digits(2)])
+        forms = ["20dd-0n-1d", "dd:dd:dd", "d.d.dd", "dd,ddd.dd", "ndd.dd.d.ddd", "1d/0n/20dd", "978-d-dddd-dddd-d", "dddd dddd", "ddd ddd", "vd.d.d.d", "#dddddddd", "$dddd.dd", "dddd-dddd", "19dd-19dd", "20dd-20dd", "nd nd nd nd", "ddddd-dddd", "ddd-dd", "20dd 20dd", "1d.0n.20dd", "20dd0n1ddddd", "nd ddd ddd", "n ddd ddd", "ndd ddd ddd", "n,ddd,ddd", "nd.dddddd", "dd.ddddd, dd.ddddd", "ddd-ddddddd-ddddddd", "AB-dddd-dddd", "dddd.dd.dd", "dddd/dddd", "n.nnn.nnn,dd", "20dd-0n-1d 1d:dd:dd", "1-d, d-1d, 1d-2d", "nnd nnd nnd nnd"]
+        return r.choice([iban, wrong, long_, digits(r.randint(1, 12)), f"{word()}{digits(5)}", f"{word()}-{digits(3)}-{digits(4)}", " ".join(digits(r.randint(1, 3)) for _ in range(r.randint(3, 9))), digits(r.choice([7, 8, 10, 11])), *[filled(f) for f in r.choices(forms, k=8)]])
 
     makers = [mail, ip, card, phone]
     for _ in range(SENTENCES):
         text, spans = word().capitalize(), []
         for _ in range(r.randint(1, 3)):
-            y = r.choice([0, 1, 2, 3, 3, OUTSIDE, OUTSIDE, OUTSIDE])
+            y = r.choice([0, 1, 2, 3, 3, OUTSIDE, OUTSIDE, OUTSIDE, OUTSIDE])
+            s = none() if y == OUTSIDE else makers[y]()
+            hidden = isinstance(s, tuple)  # a form that tells little by itself
             text += " " + " ".join(word() for _ in range(r.randint(1, 3)))
-            cue = r.choice(CUES["none" if y == OUTSIDE else KINDS[y]]) if r.random() < 0.5 else ""
-            text += f" {cue}{r.choice([':', ''])}" if cue else ""
+            cue = r.choice(CUES["none" if y == OUTSIDE else KINDS[y]]) if r.random() < (0.9 if hidden else 0.4) else ""
+            text += f" {r.choice([cue, cue, cue.capitalize()])}{r.choice([':', '', '', ' ' + word(), ' me on', ' is', ' ' + word() + ' ' + word()])}" if cue else ""
             text += r.choice([" ", " ", " ", " (", ' "'])
-            s = none() if y == OUTSIDE else makers[y]()
+            s = s[0] if hidden else s
             if y != OUTSIDE:
                 spans.append((y, len(text), len(text) + len(s)))
             text += s + r.choice(["", "", ",", ".", ")", '"', ";"])
@@ -322,13 +385,13 @@ def field() -> Field:
     made = []
     for text, spans in _sentences():
         for a, b in stretches(text):
-            tokens, segments = _lattice(text, a, b)
-            at = {x: i for i, (x, _) in enumerate(tokens)} | {}
-            ends = {y: i + 1 for i, (_, y) in enumerate(tokens)}
-            known = {(i, j, y) for i, j, y, _ in segments}
-            truth = {(at[x], ends[z], y) for y, x, z in spans if a <= x and z <= b and x in at and z in ends}
-            if truth <= known:
-                made.append((tokens, segments, truth))
+            for tokens, segments in _pieces(text, a, b):
+                at = {x: i for i, (x, _) in enumerate(tokens)}
+                ends = {y: i + 1 for i, (_, y) in enumerate(tokens)}
+                known = {(i, j, y) for i, j, y, _ in segments}
+                truth = {(at[x], ends[z], y) for y, x, z in spans if x in at and z in ends}
+                if truth <= known:
+                    made.append((tokens, segments, truth))
     for _ in range(PASSES):
         for x in made:
             out.learn(*x, squares)
@@ -337,20 +400,52 @@ def field() -> Field:
 
 
 def stretches(text: str) -> list[tuple[int, int]]:
-    """Parts of a text in which entities may be: those with an @, with 4 digits at least, or an address spelt out."""
-    pattern = _STRETCH if _SPELT.search(text) else _SIMPLE
-    return [m.span() for m in pattern.finditer(text) if "@" in m[0] or sum(map(str.isdigit, m[0])) >= 4 or not any(map(str.isdigit, m[0]))]
+    """Parts of a text in which entities may be, found from digits, @ and spelt-out 'at's outwards: runs of chunks between white space with a digit or an @ that hold an @ or 4 digits at least, and addresses spelt out."""
+    found, at = [], 0
+    while m := _MARK.search(text, at):
+        a = m.start()
+        while a > at and not text[a - 1].isspace():
+            a -= 1
+        gap = _GAP.search(text, m.end())
+        at = gap.start() if gap else len(text)
+        if found and found[-1][1] + 1 == a and text[a - 1] in "  ":
+            found[-1] = (found[-1][0], at)
+        else:
+            found.append((a, at))
+    found = [(a, b) for a, b in found if "@" in text[a:b] or sum(map(str.isdigit, text[a:b])) >= 4]
+    spelt, done = [], 0
+    for m in _SPELT_AT.finditer(text):
+        low = max(done, m.start() - MOST_CHARS // 2)
+        domain = _SPELT_DOMAIN.match(text, m.end())
+        if domain and (m[0].strip()[:1] in "[({" or _SPELT_DOT.search(domain[0])) and (local := _SPELT_LOCAL.search(text[low : m.start()])):
+            spelt.append((low + local.start(), domain.end()))
+            done = domain.end()
+    if not spelt:
+        return found
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(found + spelt):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
 
 
 def added_spans(text: str, base: list[tuple[str, int, int]], model: Field) -> list[tuple[str, int, int]]:
     """What the field finds beside the base spans; where they overlap, the base span stays and the field's goes."""
-    out, taken = [], sorted((a, b) for _, a, b in base)
+    taken: list[tuple[int, int]] = []
+    for a, b in sorted((a, b) for _, a, b in base):
+        if taken and a <= taken[-1][1]:
+            taken[-1] = (taken[-1][0], max(b, taken[-1][1]))
+        else:
+            taken.append((a, b))
+    out = []
     for a, b in stretches(text):
-        tokens, segments = _lattice(text, a, b)
-        if segments:
+        for tokens, segments in _pieces(text, a, b):
             for i, j, y, odds in model.decode(tokens, segments):
                 x, z = tokens[i][0], tokens[j - 1][1]
-                if odds >= MARGIN and not any(p < z and x < q for p, q in taken):
+                k = bisect_right(taken, (z,)) - 1  # the last that begins before z
+                if odds >= MARGIN and not (k >= 0 and taken[k][0] < z and x < taken[k][1]):
                     out.append((KINDS[y], x, z))
     return out
 
@@ -358,7 +453,7 @@ def added_spans(text: str, base: list[tuple[str, int, int]], model: Field) -> li
 def scan(text: str, model: Field) -> tuple[list, list]:
     """(base spans, all spans), each by kind, then start."""
     base = base_spans(text)
-    more = added_spans(text, base, model) if any(c in text for c in "@0123456789") or _SPELT.search(text) else []
+    more = added_spans(text, base, model)
     return base, sorted(base + more, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 
 
@@ -367,16 +462,17 @@ def joined(spans) -> str:
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base, spans: one row for each row of docs.
+    """doc_id, n_email, n_ip, n_card, n_phone, n_spans, base, spans: one row for each row of docs.
 
     base and spans list kind:start:end in code points, end exclusive, by kind as listed, then start, joined by commas: the
-    patterns' spans, and those with the field's. A null text counts as empty. Repeated and null ids are scanned like others.
+    patterns' spans, counted by kind, and those with the field's, n_spans in all. A null text counts as empty: no spans.
+    Repeated and null ids are scanned like others. Only the two columns are read. An empty table gives an empty table.
     """
     model = field()
 
     def run(batch):
         found = [scan(t, model) for t in texts(batch)]
         out = {f"n_{k}": [sum(s[0] == k for s in b) for b, _ in found] for k in KINDS}
-        return out | {"doc_id": batch.column("doc_id"), "base": [joined(b) for b, _ in found], "spans": [joined(s) for _, s in found]}
+        return out | {"doc_id": batch.column("doc_id"), "n_spans": [len(s) for _, s in found], "base": [joined(b) for b, _ in found], "spans": [joined(s) for _, s in found]}
 
-    return map_batches(id_text(docs, id_col, text_col).selectExpr("cast(doc_id AS long) AS doc_id", "text"), run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, spans string")
+    return map_batches(id_text(docs, id_col, text_col).selectExpr("cast(doc_id AS long) AS doc_id", "text"), run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, n_spans long, base string, spans string")
