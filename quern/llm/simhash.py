@@ -18,8 +18,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .buckets import bucket_pairs
-from .common import cut, id_text, map_batches, texts
+from .buckets import bucket_pairs, chains, large_buckets, sampled
+from .common import cut, id_text, map_batches, texts, with_keys
 from .components import components
 
 #: Differing bits up to which fingerprints link, words of a shingle, and the seed of its hash.
@@ -62,55 +62,57 @@ def fingerprint(text: str) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (the 64 bits as a long): one row for each row; a null text is an empty one, with fingerprint zero."""
+    """doc_id, fp (the 64 bits as a long): one row for each row; a null text is an empty one, with fingerprint zero. An empty table gives an empty one."""
+    return _prints(docs, id_col, text_col).drop("mark")
+
+
+def _prints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, mark (a hash of the text, by which rows that repeat an id are told apart), fp."""
     def run(batch):
-        return {"doc_id": batch.column("doc_id"), "fp": np.array([fingerprint(t) for t in texts(batch)], np.uint64).view(np.int64)}
+        return {"doc_id": batch.column("doc_id"), "mark": batch.column("mark"), "fp": np.array([fingerprint(t) for t in texts(batch)], np.uint64).view(np.int64)}
+
+    return map_batches(id_text(docs, id_col, text_col).select(F.col("doc_id").cast("long").alias("doc_id"), _mark(F.col("text")).alias("mark"), "text"), run, "doc_id long, mark long, fp long")
+
 
-    return map_batches(id_text(docs, id_col, text_col).selectExpr("cast(doc_id AS long) AS doc_id", "text"), run, "doc_id long, fp long")
+def _mark(text: Column) -> Column:
+    return F.xxhash64(F.lit(3), text)
 
 
-def _forest(fp: np.ndarray, a: np.ndarray, b: np.ndarray) -> dict:
-    """Edges that connect what the links a-b between rows of fp connect: each row to the smallest of its component."""
-    root = np.arange(len(fp))
-    while len(a):
-        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
-        live = low != high
-        if not live.any():
-            break
-        a, b, low, high = a[live], b[live], low[live], high[live]
-        np.minimum.at(root, high, low)
-        while (root[root] != root).any():
-            root = root[root]
-    moved = np.flatnonzero(root != np.arange(len(fp)))
-    return {"a": fp[root[moved]], "b": fp[moved]}
+def shared_bytes(diff: np.ndarray) -> np.ndarray:
+    """How many of its 8 bytes are zero, for each difference of two fingerprints."""
+    low = np.uint64(0x7F7F7F7F7F7F7F7F)
+    return np.bitwise_count(~(((diff & low) + low) | diff | low))
 
 
 def _links(x: np.ndarray, y: np.ndarray, same: bool):
-    """Index pairs of x and y (i < j where they are the same list) that share MATCHES positional bytes and differ in at most DISTANCE bits."""
+    """Index pairs of x and y (i < j where they are the same list) that share MATCHES positional bytes, by the tally, and then differ in at most DISTANCE bits."""
     ia, ib = [], []
     for i in range(0, len(x), 512):
         diff = x[i : i + 512, None] ^ y[None, :]
-        near = np.bitwise_count(diff) <= DISTANCE + 8  # drops most pairs before their bytes are tallied
+        enough = shared_bytes(diff) >= MATCHES
         if same:
-            near &= np.arange(i, min(i + 512, len(x)))[:, None] < np.arange(len(y))[None, :]
-        p, q = np.nonzero(near)
-        d = diff[p, q]
-        tally = (d[:, None].view(np.uint8).reshape(-1, 8) == 0).sum(1)
-        keep = (tally >= MATCHES) & (np.bitwise_count(d) <= DISTANCE)
-        ia.append(p[keep] + i)
-        ib.append(q[keep])
+            enough &= np.arange(i, min(i + 512, len(x)))[:, None] < np.arange(len(y))[None, :]
+        p, q = np.nonzero(enough)
+        near = np.bitwise_count(diff[p, q]) <= DISTANCE
+        ia.append(p[near] + i)
+        ib.append(q[near])
     return np.concatenate(ia or [np.zeros(0, int)]), np.concatenate(ib or [np.zeros(0, int)])
 
 
+def _edges(fp: np.ndarray, links) -> dict:
+    a, b = chains(fp, *links)
+    return {"a": a, "b": b}
+
+
 def _within(t: pa.Table) -> dict:
     fp = t.column("fp").to_numpy()
-    return _forest(fp, *_links(fp.view(np.uint64), fp.view(np.uint64), True))
+    return _edges(fp, _links(fp.view(np.uint64), fp.view(np.uint64), True))
 
 
 def _across(s: pa.Table, t: pa.Table) -> dict:
     x, y = s.column("fp").to_numpy(), t.column("fp").to_numpy()
     a, b = _links(x.view(np.uint64), y.view(np.uint64), False)
-    return _forest(np.concatenate([x, y]), a, b + len(x))
+    return _edges(np.concatenate([x, y]), (a, b + len(x)))
 
 
 def _keys(fp: Column) -> Column:
@@ -119,34 +121,50 @@ def _keys(fp: Column) -> Column:
     return F.array(*[F.lit(n << 24).cast("long").bitwiseOR(F.shiftleft(byte[i], 16)).bitwiseOR(F.shiftleft(byte[j], 8)).bitwiseOR(byte[k]) for n, (i, j, k) in enumerate(POSTINGS)])
 
 
+def _components(prints: DataFrame) -> DataFrame:
+    """fp, part, component_id of each fingerprint of prints(doc_id, mark, fp): part is the least fingerprint of its component, component_id the least doc_id there, null ids aside."""
+    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
+
+    def posted(rows):
+        return rows.select("fp", F.explode(_keys(F.col("fp"))).alias("key"))
+
+    label = components(bucket_pairs(posted(distinct), "key", _within, _across, "a long, b long", large_buckets(posted(sampled(distinct, "fp")), "key")))
+    linked = cut(distinct.join(label.select(F.col("node").alias("fp"), F.col("label").alias("part")), "fp"))
+    least = cut(linked.groupBy("part").agg(F.min("least_id").alias("component_id")))
+    of_linked = with_keys(linked.select("fp", "part"), least, ["part"], least.count()).select("fp", "part", "component_id")
+    every = distinct.join(of_linked, "fp", "left")
+    # Cut, so that the join of all rows with it stands alone, and may split a fingerprint that very many share.
+    return cut(every.select("fp", F.coalesce("part", "fp").alias("part"), F.when(F.col("part").isNull(), F.col("least_id")).otherwise(F.col("component_id")).alias("component_id")))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp, component_id: one row for each row of docs.
 
     Fingerprints, not documents, are compared: copies share one, so that a fingerprint is looked at once however many
     copies it has. component_id is the smallest doc_id among the documents reachable by links; rows with a null doc_id take
     part, but give no id, so a component of such rows alone has a null one. Repeated rows each get a row. Null and empty
-    texts have fingerprint zero and link with each other. An empty table gives an empty table.
+    texts have fingerprint zero and link with each other. Only the two columns are read. An empty table gives an empty table.
     """
     prints = cut(fingerprints(docs, id_col, text_col))
-    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
-    posted = distinct.select("fp", F.explode(_keys(F.col("fp"))).alias("key"))
-    edges = bucket_pairs(posted, "key", _within, _across, "a long, b long")
-    label = components(edges)
-    joined = distinct.join(label.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least_id", F.coalesce("label", "fp").alias("label"))
-    least = joined.groupBy("label").agg(F.min("least_id").alias("component_id"))
-    return prints.join(joined.join(least, "label").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return prints.join(_components(prints), "fp").select("doc_id", "fp", "component_id")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, as they are, that stand for their component: those whose id is the component's smallest.
+    """One row of docs, as it is, for each component: the one with the smallest id, of several with that id the one whose text hashes lowest.
 
-    Of rows that repeat an id one stays. Rows with a null id, which can't stand for anything, all stay.
+    A row without an id takes part and stands for its component where no row has an id. Rows with the same id and text count
+    as one, of which the first by its columns stays; rows with the same id and different texts are told apart. Columns
+    may have any names. An empty table gives an empty table.
     """
-    found = cut(near_duplicates(docs, id_col, text_col).select("doc_id", "component_id"))
-    stay = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    out = docs.join(stay.select(F.col("doc_id").alias("_stays")), docs[id_col] == F.col("_stays"), "left_semi")
+    prints = cut(_prints(docs, id_col, text_col))
+    of = prints.join(_components(prints).select("fp", "part"), "fp")
+    first = of.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("r")).select("r.doc_id", "r.mark")
+    times = prints.groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("n"))
+    stay = cut(times.join(first, times["doc_id"].eqNullSafe(first["doc_id"]) & (times["mark"] == first["mark"]), "left_semi").select(F.col("doc_id").alias("i"), F.col("mark").alias("m"), "n"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("i0"), _mark(F.col(f"`{text_col}`")).alias("m0"), whole)
+    rows = rows.join(stay, F.col("i0").eqNullSafe(F.col("i")) & (F.col("m0") == F.col("m")))
+    out = rows.where("n = 1").select("row")
     if not stay.where("n > 1").isEmpty():
-        out = out.dropDuplicates([id_col])
-    if not found.where("doc_id is null").isEmpty():
-        out = out.union(docs.where(docs[id_col].isNull()))
-    return out
+        out = out.union(rows.where("n > 1").groupBy("i0", "m0").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row"))
+    return out.select("row.*")
