@@ -134,6 +134,18 @@ def test_secrets_across_windows(monkeypatch):
     assert secrets.scan(B64(gzip.compress(b"+/" * 5000))).n_cut > 0
 
 
+@pytest.mark.parametrize("code", ["utf-16", "utf-16-le", "utf-16-be"])
+def test_secrets_in_utf16(code):
+    data = SECRET.decode().encode(code)
+    for wrapped in (B64(data), B64(gzip.compress(data)), B64(b"\xff\xfejunk" + data), "".join(f"%{c:02x}" for c in data), B64(B64(data).encode(code)), B64(gzip.compress(b"\x01\xff" + ("a b " * 3_000_000).encode(code) + data, 1))):
+        text = f"é x: {wrapped} end"
+        assert any(k == "assign" and 5 <= a < b <= 5 + len(wrapped) for k, a, b in secrets.scan(text).spans)
+        assert "hunter2" not in secrets.redacted(text)
+    w = B64(b"0123456789".decode().encode(code) + data)
+    kind, a, b = secrets.scan(w).spans[-1]
+    assert kind == "assign" and b - a < len(w) - 20
+
+
 def _lines(x, n, end="\n"):
     return end.join(x[i : i + n] for i in range(0, len(x), n))
 
@@ -191,6 +203,41 @@ def test_split_keeps_quotas():
     assert parts.shape == (8, 4) and (parts.sum(0) == q).all() and (parts >= 0).all() and np.ptp(parts.sum(1)) <= 3
 
 
+def test_split_of_many_sources():
+    """More blocks than numpy draws from at once."""
+    q = np.full(200_000, 8192, np.int64)
+    parts = mixing.split(q, 2, 3)
+    assert (parts.sum(0) == q).all() and parts.sum(1).tolist() == [819_200_000] * 2
+    assert abs(parts[0].mean() - 4096) < 1 and 40 < parts[0].std() < 50  # of a draw of half of 8192
+
+
+def test_hypergeometric_beyond_the_library():
+    rng = np.random.default_rng(4)
+    good, bad, drawn = 700_000_000, 900_000_000, 400_000_000
+    x = np.array([mixing.hypergeometric(rng, good, bad, drawn) for _ in range(3000)], float)
+    p = good / (good + bad)
+    var = drawn * p * (1 - p) * (good + bad - drawn) / (good + bad - 1)
+    assert abs(x.mean() - drawn * p) < 4 * np.sqrt(var / len(x)) and 0.9 < x.var() / var < 1.1
+    assert mixing.hypergeometric(rng, 2 * 10**9, 0, 5) == 5 and mixing.hypergeometric(rng, 0, 2 * 10**9, 5) == 0
+
+
+def test_targets_and_leaves_of_many_sources(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "GROUP", 64)
+    r = random.Random(9)
+    names = [None, "", "é", "z", "Z", *(f"s{i:05}" for i in range(700))]
+    sizes = {n: int(10 ** r.uniform(0, 6)) if r.random() < 0.95 else 0 for n in names}
+    rows_ = list(sizes.items())
+    r.shuffle(rows_)
+    numbered = mixing._numbered(spark.createDataFrame(rows_, "source string, size long").repartition(5))
+    order = sorted(names, key=lambda n: (n is None, n or ""))
+    got = {x.source: x for x in mixing._targeted(numbered).collect()}
+    assert [got[n].sid for n in order] == list(range(len(order)))
+    assert np.allclose([got[n].target for n in order], mixing.targets([sizes[n] for n in order]))
+    q = np.array([r.randrange(0, 8193) for _ in order])
+    ends = {x.sid: x.ends for x in mixing._leaves(spark.createDataFrame([(i, int(n)) for i, n in enumerate(q)], "sid long, quota long")).collect()}
+    assert (np.array([ends[i] for i in range(len(order))]).T == np.cumsum(mixing.split(q, mixing.SHARDS, mixing.SEED), axis=0)).all()
+
+
 def test_mixing(small_docs, odd_docs):
     for docs in (small_docs, odd_docs):
         got = mixing.draws(docs).toPandas()
@@ -204,11 +251,37 @@ def test_mixing(small_docs, odd_docs):
         assert got.sort_values(list(got.columns)).reset_index(drop=True).equals(mixing.draws(docs.repartition(3)).toPandas().sort_values(list(got.columns)).reset_index(drop=True))
         mix = mixing.mixed(docs)
         assert mix.columns == docs.columns
+        # A shard's rows come from the tree's leaves: every shard has its share of the drawn blocks' words.
+        assert ((got.shard1.notna() == (got["first"] > 0)) & (got.shard2.notna() == (got["second"] > 0))).all()
     ids = Counter(r.doc_id for r in mixing.mixed(small_docs).select("doc_id").collect())
     assert max(ids.values()) <= 2 and len(ids) > 0.5 * small_docs.count()
     assert mixing.draws(odd_docs.where("false")).count() == 0 and mixing.mixed(odd_docs.where("false")).count() == 0
 
 
+def test_mix_is_what_is_drawn(small_docs, monkeypatch):
+    """mixed() holds the documents that draws() takes, but for those that a target cuts; by either way of joining the blocks."""
+    drawn = {r.doc_id: r for r in mixing.draws(small_docs).collect()}
+    mixes = []
+    for most in (mixing.MOST_BLOCKS, 0):
+        monkeypatch.setattr(mixing, "MOST_BLOCKS", most)
+        mixes.append(Counter(r.doc_id for r in mixing.mixed(small_docs).select("doc_id").collect()))
+    assert mixes[0] == mixes[1]
+    for i, r in drawn.items():
+        least, most = sum(x == r["size"] > 0 for x in (r.first, r.second)), sum(x > 0 for x in (r.first, r.second))
+        assert least <= mixes[0][i] <= most
+
+
+def test_mix_of_rows_without_ids(spark):
+    """Rows without an id are spread over blocks by their texts, and columns may have the names used inside."""
+    df = spark.createDataFrame([(None, f"word{i} and some more of them " * 5, "ab"[i % 2], i) for i in range(3000)], "doc_id long, text string, source string, n int").select("*", *[F.lit(1).alias(c) for c in ("_id", "_c", "_slice", "block", "size", "doc", "row", "copy", "slice", "shard1", "words", "room1")])
+    mix = mixing.mixed(df)
+    assert mix.columns == df.columns
+    got = Counter(r.n for r in mix.select("n").collect())
+    assert max(got.values()) <= 2 and abs(got.total() - 4500) <= 2
+    by = [sum(k for n, k in got.items() if n % 2 == s) for s in (0, 1)]
+    assert abs(by[0] - 3000) <= 1 and abs(by[1] - 1500) <= 1
+
+
 # ---- 3
 
 
@@ -226,9 +299,11 @@ def _graph(n, pairs):
     return [find(i) for i in range(n)]
 
 
-@pytest.mark.parametrize("block", [4096, 16])
-def test_lattice(spark, block, monkeypatch):
+@pytest.mark.parametrize(("block", "seen", "every"), [(4096, 96, 64), (16, 96, 64), (64, 20, 2)])
+def test_lattice(spark, block, seen, every, monkeypatch):
     monkeypatch.setattr(buckets, "BLOCK", block)
+    monkeypatch.setattr(buckets, "LEAST_SEEN", seen)
+    monkeypatch.setattr(buckets, "SAMPLED", every)
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(60, 24))
     x = np.concatenate([c + rng.normal(size=(k, 24)) * s for c, k, s in zip(centres, itertools.cycle([1, 3, 40]), itertools.cycle([0.05, 0.12, 0.18]))]).astype(np.float32)
@@ -238,18 +313,63 @@ def test_lattice(spark, block, monkeypatch):
     np.fill_diagonal(near, False)
     label = _graph(len(x), zip(*np.nonzero(near), strict=True))
     odd = [(9000, None), (9001, []), (9002, [0.0] * 24), (9003, [float("nan")] * 24), (9004, [float("inf")] + [1.0] * 23), (9005, [1.0, 2.0]), (None, [1.0] * 24), (9006, [None] + [1.0] * 23)]
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + odd, "vec_id long, embedding array<float>").withColumn("key", F.lit("clash"))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + odd, "vec_id long, embedding array<float>").select("*", *[F.lit("clash").alias(c) for c in ("key", "id", "vec", "h1", "node", "tag")])
     got = {r.vec_id: r for r in lattice.near_duplicates(df).collect()}
     assert len(got) == len(x) + len(odd)
     for i, _ in odd:
         assert got[i].n_links == 0 and got[i].component_id == i and got[i].kept == (None if i is None else True)
     found = sum(got[i].n_links for i in range(len(x)))
-    assert all(got[i].n_links <= near[i].sum() for i in range(len(x))) and found >= 0.95 * near.sum()
+    assert all(got[i].n_links <= near[i].sum() for i in range(len(x))) and found >= 0.97 * near.sum()
     if found == near.sum():
         assert [got[i].component_id for i in range(len(x))] == label
     assert lattice.near_duplicates(df.where("false")).count() == 0
 
 
+def test_lattice_ids_that_several_vectors_carry(spark):
+    """Ids hold their vectors together; equal vectors under several ids are one."""
+    e = lambda i: [float(j == i) for j in range(8)]
+    df = spark.createDataFrame([(5, e(0)), (5, e(1)), (3, e(1)), (9, e(2)), (9, e(2)), (7, e(3)), (7, e(0))], "vec_id long, embedding array<double>")
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in lattice.near_duplicates(df).collect())
+    assert got == [(3, 1, 3, True), (5, 1, 3, False), (5, 1, 3, False), (7, 0, 3, False), (7, 1, 3, False), (9, 1, 9, True), (9, 1, 9, True)]
+
+
+@pytest.mark.parametrize("d", [64, 384])
+def test_lattice_recall_at_the_least_cosine(spark, d):
+    """Pairs at cosine 0.951 among vectors of no likeness."""
+    rng = np.random.default_rng(d)
+    x = rng.normal(size=(1500, d))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rng.normal(size=x.shape)
+    y -= (y * x).sum(1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    pair = 0.951 * x + np.sqrt(1 - 0.951**2) * y
+    both = np.concatenate([x, pair])
+    got = lattice.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(both)], "vec_id long, embedding array<double>"))
+    assert got.where("vec_id >= 1500 and n_links = 1 and component_id = vec_id - 1500").count() >= 0.97 * len(x)
+
+
+def test_cells_of_a_row_alone():
+    form = lattice.layout(50_000)
+    u = lattice.unit(np.random.default_rng(2).normal(size=(300, 40)))
+    alone = np.concatenate([lattice.cells(lattice.unit(u[i : i + 1]), form) for i in range(0, 300, 7)])
+    assert (lattice.cells(lattice.unit(u), form)[::7] == alone).all()
+
+
+def test_useful_postings():
+    import pyarrow as pa
+
+    r = random.Random(6)
+    for _ in range(200):
+        rows_ = sorted(((r.randrange(30), 2 * i + (r.random() < 0.4)) for i in range(r.randrange(60))), key=lambda x: (x[0], -(x[1] & 1)))
+        large = {k for k in range(30) if r.random() < 0.1}
+        cuts = sorted(r.randrange(len(rows_) + 1) for _ in range(4))
+        batches = [pa.RecordBatch.from_arrays([pa.array([k for k, _ in part], pa.int64()), pa.array([t for _, t in part], pa.int64()), pa.array([k in large for k, _ in part])], names=["key", "tag", "large"]) for a, b in zip([0, *cuts], [*cuts, len(rows_)], strict=True) for part in [rows_[a:b]]]
+        got = [x for b in lattice._useful(batches) for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+        count = Counter(k for k, _ in rows_)
+        want = [(k, t) for k, t in rows_ if k in large or count[k] > 1 and any(x == k and y & 1 for x, y in rows_)]
+        assert got == want
+
+
 def test_lattice_points():
     x = np.random.default_rng(1).normal(size=(200, 8)) * 2
     p = lattice.nearest_points(x)
@@ -274,14 +394,21 @@ def test_bucket_pairs_of_full_blocks(spark):
     want = {k: (n * (n - 1) // 2, sum(range(1, n + 1)) ** 2 - sum(i * i for i in range(1, n + 1)) >> 1) for k, n in sizes.items() if n > 1}
     parts = spark.conf.get("spark.sql.shuffle.partitions")
     try:
-        for n in ("1", "5"):
+        for n, large in itertools.product(("1", "5"), (None, spark.createDataFrame([(8, 2), (11, 3), (13, 5)], "key long, _parts long"))):
             spark.conf.set("spark.sql.shuffle.partitions", n)
-            got = buckets.bucket_pairs(df, "key", lambda t: pairs(t, t), pairs, "key long, n long, total long")
+            got = buckets.bucket_pairs(df, "key", lambda t: pairs(t, t), pairs, "key long, n long, total long", large)
             assert {r.key: (r.n, r.total) for r in got.groupBy("key").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).collect()} == want
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", parts)
 
 
+def test_large_buckets_are_known_beforehand(spark):
+    df = spark.range(60_000).select((F.col("id") % 40_000).alias("key"), F.col("id").alias("node")).union(spark.range(20_000).select(F.lit(-5).cast("long"), (F.col("id") + 100_000).alias("node")))
+    got = {r.key: r._parts for r in buckets.large_buckets(buckets.sampled(df, "node"), "key").collect()}
+    assert set(got) == {-5} and 3 <= got[-5] <= 8
+    assert buckets.large_buckets(buckets.sampled(df.where("key >= 0"), "node"), "key") is None
+
+
 def test_full_blocks_of_close_prints(spark):
     """Distinct prints of one bucket, each a bit or two from another: all in one component."""
     n = 2 * buckets.BLOCK + 100
@@ -321,17 +448,45 @@ def _detect(norm):
     for d in sorted(found):
         if not any(e[2] <= d[2] and e[0] <= d[0] and e[1] <= d[1] for e in kept):
             kept.append(d)
-    return [(d[3], d[2], norm[: d[0]].count(" ") - 1 + 0, len(norm[d[0] : -d[1]].split())) for d in kept]
+    return [(d[3], d[2], norm[: d[0]].count(" ") - 1, len(norm[d[0] : -d[1]].split())) for d in kept if d[3]]
+
 
+def _norm(text):
+    return " " + re.sub(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ", text.lower()).strip() + " "
 
-def test_license_rules(spark):
-    assert len(licenses.rules()) >= 200
-    texts = ["Licensed under the Apache License, Version 2.0.", "SPDX-License-Identifier: GPL-2.0-or-later, GNU General Public License", "CC BY-NC 4.0 and CC BY", "all rights reserved; Mozilla Public License 2.0", "Permission is hereby granted, free of charge, to any person obtaining a copy (MIT License)", "nothing"]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+def test_license_rules(spark, small_docs):
+    """Against the plain version: notices, and a corpus."""
+    assert len(licenses.rules()) >= 300
+    texts = ["Licensed under the Apache License, Version 2.0.", "SPDX-License-Identifier: GPL-2.0-or-later, GNU General Public License", "CC BY-NC 4.0 and CC BY", "all rights reserved; Mozilla Public License 2.0", "Permission is hereby granted, free of charge, to any person obtaining a copy (MIT License)", "nothing", "It is not licensed under the MIT License but under the GPL, version 3"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").union(small_docs.select("doc_id", "text").where("doc_id > 10"))
+    text = {r.doc_id: r.text or "" for r in df.collect()}
+    seen = 0
     for r in licenses.licenses(df).collect():
-        norm = " " + re.sub(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ", texts[r.doc_id].lower()).strip() + " "
-        assert sorted((d.label, d.priority, d.words) for d in r.detections) == sorted((a, b, n) for a, b, _, n in _detect(norm))
-        assert 0 <= r.score <= 1 and (r.score > 0) == bool(r.labels)
+        got = sorted(tuple(d) for d in r.detections)
+        assert got == sorted(_detect(_norm(text[r.doc_id]))) and 0 <= r.score <= 1 and (r.score > 0) == bool(r.labels)
+        seen += bool(got)
+    assert seen >= 10
+
+
+@pytest.mark.parametrize(("text", "labels"), [
+    ("Licensed under either of Apache License, Version 2.0 (LICENSE-APACHE or http://www.apache.org/licenses/LICENSE-2.0) or MIT license at your option.", {"apache", "mit"}),
+    ("// SPDX-License-Identifier: MIT OR Apache-2.0", {"apache", "mit"}),
+    ("This project is not licensed under the GPL.", set()),
+    ("Code is compatible with the GPL v3 and licensed under the BSD license.", {"bsd"}),
+    ("He lost his driver's license and bought an MIT license plate.", {"mit"}),
+    ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License", {"lgpl"}),
+    ("interacting with it remotely through a computer network", {"agpl"}),
+    ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", {"cc-by-sa"}),
+    ("https://creativecommons.org/licenses/by-nc-sa/4.0/", {"cc-by-nc-sa"}),
+    ("Redistribution and use in source and binary forms, with or without modification, are permitted", {"bsd"}),
+    ("You may use this module under the same terms as Perl itself.", {"artistic", "gpl"}),
+    ("GPL-2.0 WITH Linux-syscall-note: SPDX-License-Identifier: GPL-2.0 WITH Linux-syscall-note", {"gpl", "linux-syscall-note"}),
+    ("the licensor hereby grants you the right to copy, modify, create derivative works, redistribute, and make non-production use", {"bsl"}),
+    ("They dedicated it: hereby released into the public domain", {"public-domain"}),
+], ids=lambda x: x[:12] if isinstance(x, str) else "")
+def test_license_cases(text, labels):
+    assert {x for d in _detect(_norm(text)) for x in d[0].split()} | {licenses.BASE[p] for p in licenses.BASE if f" {p} " in _norm(text)} == labels
 
 
 def _examples(parsed):
@@ -356,14 +511,13 @@ def _examples(parsed):
 
 
 def test_license_gate():
+    """What the rules match, of every form, has the rule's keyword, and with a label passes the first gate."""
     from re import _parser
 
-    missed = {e for k, p, label, r in licenses.rules() for e in _examples(_parser.parse(r)) if not any(w in f" {e} " for w in licenses.GATE)}
-    assert not missed
-    # The examples are what the rules match, and the rules' own keywords stand in them.
-    for k, p, label, r in licenses.rules():
+    gate = licenses.gate()
+    for k, _, labels, r in licenses.rules():
         for e in _examples(_parser.parse(r)):
-            assert re.fullmatch(r, e) and k in f" {e} "
+            assert re.fullmatch(r, e) and k in f" {e} " and (not labels or any(w in f" {e} " for w in gate)), e
 
 
 def test_licenses_alone(spark):
@@ -430,11 +584,26 @@ def test_simhash(spark, small_docs, odd_docs, block, monkeypatch):
             least[c] = min((x for x in (least.get(c), i) if x is not None), default=None)
         want = sorted((str(i), f, str(least[c])) for (i, _), f, c in zip(text, prints, label, strict=True))
         assert sorted((str(r.doc_id), r.fp % (1 << 64), str(r.component_id)) for r in simhash.near_duplicates(df).collect()) == want
-    kept = simhash.deduplicated(odd_docs)
-    assert kept.columns == odd_docs.columns and Counter(r.doc_id for r in kept.collect())[1] == 1
     assert simhash.near_duplicates(odd_docs.where("false")).count() == 0
 
 
+def test_deduplicated_rows(spark, odd_docs):
+    kept = simhash.deduplicated(odd_docs)
+    assert kept.columns == odd_docs.columns and Counter(r.doc_id for r in kept.collect()) == Counter([1, 2, None, 5, 6, 7, 8])
+    assert simhash.deduplicated(odd_docs.where("false")).count() == 0
+    a, b, c = ("one text of a few words that is here", "quite another one with other words in it", "a third of them that is like none before it")
+    rows_ = [(1, a, 1), (1, b, 2), (1, a, 0), (None, a, 3), (None, c, 4), (None, c, 5), (2, b, 6), (None, None, 7), (3, "", 8)]
+    df = spark.createDataFrame(rows_, "doc_id long, text string, row int").withColumn("_stays", F.lit(1)).withColumn("part", F.lit(2))
+    got = sorted(((r.doc_id, r.text, r.row) for r in simhash.deduplicated(df).collect()), key=str)
+    assert got == sorted([(1, a, 0), (1, b, 2), (None, c, 4), (3, "", 8)], key=str)
+
+
+def test_tally_of_shared_bytes():
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 1 << 63, 3000, dtype=np.uint64) & rng.choice(np.array([0xFFFFFFFFFFFFFFFF, 0xFF00FF00FF00FF00, 0x01, 0x8080808080808080, 0xFF], np.uint64), 3000)
+    assert (simhash.shared_bytes(x) == (x[:, None].view(np.uint8).reshape(-1, 8) == 0).sum(1)).all()
+
+
 def test_components(spark):
     r = random.Random(3)
     pairs = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(300, 360)] + [(400, x) for x in range(401, 460)]
@@ -460,7 +629,7 @@ def test_token_counts(odd_docs, small_docs):
             best.append(max(options, key=lambda o: (o[0], -o[1])))
         return best[-1]
 
-    for docs in (odd_docs.where("coalesce(length(text), 0) < 10000"), small_docs.limit(30)):
+    for docs in (odd_docs, small_docs.limit(30)):
         got = {(str(r.doc_id), r.n_pretokens): r for r in tokencount.token_counts(docs, PIECES).collect()}
         for r in docs.collect():
             words = [tokencount.MARK + w for w in re.findall(r"[^\x20\x09-\x0D]+", r.text or "")]
@@ -470,6 +639,20 @@ def test_token_counts(odd_docs, small_docs):
     assert tokencount.token_counts(odd_docs, PIECES).count() == 10
 
 
+def test_token_counts_of_long_words():
+    """Rolled scores are those of the trie, and memory doesn't grow with a word."""
+    import tracemalloc
+
+    t = tokencount.Trie(tokencount.vocabulary(PIECES))
+    r = random.Random(5)
+    for word in ("".join(r.choices("abcdeéinorst中😀", k=700)), "the" * 300, "x" * 600):
+        assert t.rolled(word) == t.insert(word)
+    tracemalloc.start()
+    n, _ = t.count_all({"ab" * 100_000})["ab" * 100_000]
+    assert n > 10_000 and tracemalloc.get_traced_memory()[1] < 8 << 20
+    tracemalloc.stop()
+
+
 def test_trie_starts_anew(monkeypatch):
     pieces = tokencount.vocabulary(PIECES)
     words = [tokencount.MARK + w for w in "the then thence thing other others otherwise".split()]
@@ -631,21 +814,117 @@ def test_pii_base(text):
     assert pii.base_spans(text) == _plain_pii(text)
 
 
-def test_pii_field_on_unseen_sentences():
+#: Written by hand, not by the generator that the field is fitted to; an entity stands in double brackets with its kind.
+BY_HAND = """
+Call me on [[phone 020 7946 0958]] after six.
+You can reach the office at [[phone (415) 555-0132]], weekdays only.
+My new mobile is [[phone 07700 900123]] if you need it.
+Tel. [[phone 030/1234567]], Herr Schmidt.
+Telefon: [[phone 0171 2345678]] oder per Post.
+Appelez le [[phone 01 42 68 53 00]] avant midi.
+Llame al [[phone 912 34 56 78]] para reservar.
+Fax [[phone 212-555-0187]] or post the form.
+Ring [[phone 1-800-555-0199]] toll free today.
+phone: [[phone 415.555.0143]]
+The helpdesk ([[phone 0800 123 4567]]) answers in an hour.
+From abroad dial [[phone 0044 20 7946 0018]] and wait.
+Text [[phone 555-867-5309]] to win.
+Dial (0)[[phone 2079460999]] please.
+Contact john dot smith at example dot com for details -> no
+Write to [[email john dot smith at example dot com]] for details.
+Her address is [[email anna.berg [at] uni-ulm [dot] de]], she says.
+Send it to [[email info(at)firma(dot)example]] by Friday.
+email [[email support at shop dot example dot com]] with your order
+Reach us: [[email press [at] museum.org]].
+Courriel : [[email jean_dupont(at)exemple(dot)fr]]
+mail [[email bob at corp dot net]] and cc me
+Pay with [[card 4111.1111.1111.1111]] at the desk.
+The card [[card 5500  0000  0000  0004]] was charged twice.
+Kreditkarte [[card 3400.0000.0000.009]] abgelaufen.
+The card 4111 1111 1111 1112 isn't one.
+IBAN DE89 3704 0044 0532 0130 00 was debited.
+Konto FR14 2004 1010 0505 0001 3M02 606 bei der Bank.
+ISBN 978-3-16-148410-0 is out of print.
+The invoice 2023-004512 is due on 2024-03-15.
+Order 88213345 left the warehouse at 14:30:25.
+Between 1998-2004 some 1 250 000 copies were sold.
+It measured 12.5 x 30.25 x 7.125 in the end.
+Latitude 51.507351, longitude -0.127758 on the map.
+Version 10.15.7.2 and build 20231104 were tested.
+Scores were 21 19 22 20 18 over five sets.
+He lived from 1901 to 1987 and wrote 14 books.
+The population grew from 8 982 000 to 9 648 110.
+See pages 112-118 and 204-209 for tables.
+Lottery numbers: 4 8 15 16 23 42.
+Patent US 9,876,543 was filed in 2016.
+Serial 1234-5678-9012 must match the label.
+It cost $1,299.00 in 2019 and $1,499.00 in 2021.
+Ticket 4021337 was closed, ticket 4021338 was not.
+Meet me at example street at noon.
+Look at the dot on the map at page 4.
+Flight LH 1234 leaves at 06:45 from gate 22.
+The ratio was 3.14159265 to 2.71828183 exactly.
+On 05/06/2021 and 07/08/2022 it rained.
+Case no. 17-cv-01234 was dismissed.
+""".strip().split("\n")
+
+
+def _marked(line):
+    text, spans, at = "", [], 0
+    for m in re.finditer(r"\[\[(\w+) (.*?)\]\](?!\])", line):
+        text += line[at : m.start()]
+        spans.append((m[1], len(text), len(text) + len(m[2])))
+        text += m[2]
+        at = m.end()
+    return text + line[at:], spans
+
+
+def test_pii_field_on_sentences_written_by_hand():
     model, hit, wrong, there = pii.field(), 0, 0, 0
-    for text, spans in pii._sentences(99):
+    for line in (x for x in BY_HAND if not x.endswith("-> no")):
+        text, want = _marked(line)
+        got = set(pii.scan(text, model)[1])
+        hit, wrong, there = hit + len(got & set(want)), wrong + len(got - set(want)), there + len(want)
+    assert there == 24 and hit >= 20 and wrong <= 3, (hit, wrong, there)
+
+
+def test_pii_field_on_made_sentences():
+    model, hit, wrong, there = pii.field(), 0, 0, 0
+    for text, spans in itertools.islice(pii._sentences(99), 500):
         got = {s for s in pii.scan(text, model)[1]}
         want = {(pii.KINDS[y], a, b) for y, a, b in spans}
         hit, wrong, there = hit + len(got & want), wrong + len(got - want), there + len(want)
     assert hit / there > 0.85 and hit / (hit + wrong) > 0.93
 
 
+@pytest.mark.parametrize("text", ["x" * 2_000_000 + "1", "1" * 2_000_000, "中" * 1_000_000 + "7@" + "文" * 1_000_000, "a1" * 1_000_000, "1 " * 1_000_000, "x at " * 400_000, "a.b@" * 100_000 + "c.de", "%" * 2_000_000 + "9"], ids=lambda t: t[:4])
+def test_pii_of_long_texts(text):
+    import time
+
+    start = time.process_time()
+    pii.scan(text, pii.field())
+    assert time.process_time() - start < 40
+
+
+def test_pii_pieces_change_nothing():
+    """Cutting a stretch where no candidate covers a token gives the same best segmentation as the whole."""
+    model = pii.field()
+    for text, _ in itertools.islice(pii._sentences(5), 150):
+        for a, b in pii.stretches(text):
+            pieces = list(pii._pieces(text, a, b))
+            tokens = [m.span() for m in pii._TOKEN.finditer(text, a, b)]
+            place = {t: i for i, t in enumerate(tokens)}
+            segments = [(place[t[i]], place[t[j - 1]] + 1, y, f) for t, ss in pieces for i, j, y, f in ss]
+            whole = [(tokens[i][0], tokens[j - 1][1], y) for i, j, y, _ in model.decode(tokens, segments)]
+            assert whole == [(t[i][0], t[j - 1][1], y) for t, ss in pieces for i, j, y, _ in model.decode(t, ss)]
+
+
 def test_semi_markov_sums():
     """The forward sum over a lattice is that over all its segmentations, by the model's best one among them."""
     model = pii.field()
-    text = "Tel: 020 7946 0958 or 10.1.2.3"
+    text = "Tel: 020 7946 0958"
     a, b = 5, len(text)
-    tokens, segments = pii._lattice(text, a, b)
+    (tokens, segments), *_ = pii._pieces(text, a, b)
     ends = model._ends(tokens, segments)
 
     def walk(j, y_next):
@@ -687,16 +966,11 @@ def test_machine_learns_pairs():
         noise = rng.choice(50, 5, replace=False) + 10
         found.append(np.array(sorted([*([1] if a else []), *([2] if b else []), *noise]), np.int32))
         label.append(float(a != b))
-    m = toxicity.fit(found[:2500], np.array(label[:2500], np.float32))
-
-    def score(x):
-        r = m.slot[x]
-        r = r[r >= 0]
-        v = m.vectors[r]
-        return m.bias + m.weight[r].sum() + 0.5 * ((v.sum(0) ** 2).sum() - (v**2).sum())
-
-    right = np.mean([(score(x) > 0) == (y > 0.5) for x, y in zip(found[2500:], label[2500:], strict=True)])
-    assert right > 0.9
+    m = toxicity.tuned(found[:2500], np.array(label[:2500], np.float32))
+    right = np.mean([(m.odds(x) > 0) == (y > 0.5) for x, y in zip(found[2500:], label[2500:], strict=True)])
+    m.vectors[:] = 0
+    alone = np.mean([(m.odds(x) > 0) == (y > 0.5) for x, y in zip(found[2500:], label[2500:], strict=True)])
+    assert right > 0.9 > 0.7 > alone
 
 
 def test_toxicity(spark, odd_docs):
@@ -710,6 +984,10 @@ def test_toxicity(spark, odd_docs):
     other = toxicity.learn(docs.repartition(5), labels.repartition(3))
     assert np.array_equal(machine.weight, other.weight)
     assert toxicity.scores(odd_docs, machine).count() == 10 and toxicity.clean(odd_docs, machine).columns == odd_docs.columns
+    twice = docs.union(docs.where("doc_id < 200").withColumn("text", F.lit("another text of that id")))
+    assert np.array_equal(toxicity.learn(twice, labels).weight, toxicity.learn(twice.repartition(7), labels).weight)
+    none = toxicity.learn(docs.where("false"), labels)
+    assert {r.predicted for r in toxicity.scores(odd_docs, none).collect()} == {0}
     none = toxicity.learn(docs, labels.where("false"))
     assert {r.predicted for r in toxicity.scores(odd_docs, none).collect()} == {0}
 
