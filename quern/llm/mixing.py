@@ -185,12 +185,16 @@ def _plan(slim: DataFrame) -> DataFrame:
     leaves = _leaves(quotas.select("sid", (F.col("n1") + F.col("n2")).alias("quota")))
     both = both.join(leaves.join(quotas, "sid"), "sid")
     for k, place, end in ((1, F.col("rank1") - 1, F.col("n1")), (2, F.col("n1") + F.col("rank2") - 1, F.col("n1") + F.col("n2"))):
-        leaf = F.size(F.filter("ends", lambda e, at=place: e <= at))
-        both = both.withColumn(f"shard{k}", F.when(place < end, leaf))
+        both = both.withColumn(f"shard{k}", F.when(place < end, _leaf(place)))
     drawn = [F.when(F.col(f"shard{k}").isNotNull(), F.col(f"room{k}")).otherwise(0).cast("long").alias(f"room{k}") for k in (1, 2)]
     return cut(both.select("source", "block", "source_size", "target", "words", *drawn, "shard1", "shard2"))
 
 
+def _leaf(place: Column) -> Column:
+    """The leaf that a source's place lies in, by the running sums in ends."""
+    return F.size(F.filter("ends", lambda e: e <= place))
+
+
 def _of_blocks(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """rows with their block's columns of plan; the rows stay where they are while plan is small."""
     p = plan.withColumnsRenamed({"source": "p_source", "block": "p_block"})

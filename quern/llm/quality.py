@@ -235,7 +235,7 @@ def _final(levels: DataFrame, est: DataFrame) -> DataFrame:
     def part(name):
         return est.select(F.col("g").alias(name), F.struct("size", "c", "m", "noise").alias(f"e_{name}"))
 
-    every = levels.join(part("both"), "both").join(part("lang"), "lang").crossJoin(F.broadcast(part("top").where("top = '*'")))
+    every = levels.withColumn("top", F.lit("*")).join(part("both"), "both").join(part("lang"), "lang").join(F.broadcast(part("top").where("top = '*'")), "top")
 
     def run(frames):
         for f in frames:
