@@ -88,6 +88,33 @@ def aggregate(rows: DataFrame, op: str, column: str) -> Plan:
     return Plan([Step("SeqScan"), Step("Filter", {"not null": column}), Step("Aggregate", {op: column})], Cost(cpu=1.0, io=1.0), rows.where(F.col(column).isNotNull()).agg(made.alias("value")))
 
 
+def full_scan(rows: DataFrame, columns: list[str] | None = None, limit: int | None = None) -> Plan:
+    """All rows, or as many as a limit says."""
+    out = rows.select(*columns) if columns else rows
+    steps = [Step("SeqScan", {"columns": columns or rows.columns})]
+    if limit is not None:
+        out, steps = out.limit(limit), [*steps, Step("Limit", {"k": limit})]
+    return Plan(steps, Cost(cpu=1.0, io=1.0), out)
+
+
+#: Operations by name. Each takes the rows and its own arguments and gives a plan with the DataFrame that it stands for.
+OPERATIONS = {
+    "VectorSearch": vector_search,
+    "ExactSearch": lambda rows, query, k, metric=V.COSINE: vector_search(rows, query, k, None, metric=metric),
+    "FilteredSearch": filtered_search,
+    "RangeScan": range_scan,
+    "FullScan": full_scan,
+    "Aggregate": aggregate,
+}
+
+
+def plan(operation: str, rows: DataFrame, **arguments) -> Plan:
+    """The plan of an operation; ValueError for an unknown one."""
+    if operation not in OPERATIONS:
+        raise ValueError(f"no operation {operation}; there are {', '.join(OPERATIONS)}")
+    return OPERATIONS[operation](rows, **arguments)
+
+
 def path_cost(path: str, prompt_bytes: Column, tokens: int, complexity: float, accept_rate: Column | float, has_view: Column, multiplier: float = 1.0) -> Column:
     """Estimated ms of an execution path."""
     if path == "CachedAnswer":

@@ -280,10 +280,13 @@ def context_hash(spark, d):
     return asked.select("conv_id", "turn", T.context_hash(F.col("text"), F.lit("model-1"), F.transform("chunks", lambda c: F.struct(c["turn"].cast("string").alias("id"), c["text"].alias("text")))).alias("hash"))
 
 
-@query("SELECT source, min(lang) AS model, count(*) AS n FROM documents WHERE lang <> 'en' GROUP BY source")
+@query("""WITH c AS (SELECT source, lang, count(*) AS n, avg(n_chars) AS size FROM documents GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY size > 2500, n DESC, lang) AS r FROM c WHERE lang <> 'en')
+SELECT source, lang AS model, n FROM r WHERE r = 1""")
 def model_for_task(spark, d):
-    """The first model, by name, that fits each task."""
-    return table(spark, d, "documents").where("lang <> 'en'").groupBy("source").agg(F.min("lang").alias("model"), F.count(F.lit(1)).alias("n"))
+    """Of the models that fit each task the first: those whose mean size is within bounds before others, then the one used most, then by name."""
+    c = table(spark, d, "documents").where("lang <> 'en'").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"), F.avg("n_chars").alias("size"))
+    best = c.groupBy("source").agg(F.min(F.struct((F.col("size") > 2500).alias("a"), (-F.col("n")).alias("b"), F.col("lang").alias("c"))).alias("x"))
+    return best.select("source", F.col("x.c").alias("model"), (-F.col("x.b")).alias("n"))
 
 
 @query("SELECT doc_id FROM documents WHERE contains(lower(text), 'license') AND contains(lower(text), 'under')")

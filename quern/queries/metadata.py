@@ -30,10 +30,10 @@ def json_filter_eq(spark, d):
     return _filtered(spark, d, {"k": {"$eq": 7}})
 
 
-@query("SELECT event_id FROM events WHERE true")
+@query("SELECT doc_id FROM documents WHERE doc_id % 2 <> 0 OR lang <> 'en'")
 def json_filter_ne_missing(spark, d):
-    """A missing field is unequal to anything."""
-    return _filtered(spark, d, {"absent": {"$ne": 1}})
+    """A missing field is unequal to anything: odd documents have none."""
+    return _on_docs(spark, d, {"english": {"$ne": True}})
 
 
 @query(f"SELECT event_id FROM events WHERE {_K} >= 20 AND {_K} < 60")
@@ -66,10 +66,10 @@ def json_filter_strings(spark, d):
     return _on_docs(spark, d, {"lang": {"$gt": "en"}, "origin.source": {"$ne": "src1"}})
 
 
-@query("SELECT doc_id FROM documents WHERE false")
+@query("SELECT doc_id FROM documents WHERE source = 'src2' OR doc_id % 2 = 0 AND lang = 'en'")
 def json_filter_mixed_types(spark, d):
-    """Numbers and strings are neither equal nor ordered."""
-    return _on_docs(spark, d, {"$or": [{"origin.n_chars": {"$gt": "0"}}, {"lang": {"$lt": 5}}]})
+    """Numbers and strings are neither equal nor ordered; what else the filter asks for counts."""
+    return _on_docs(spark, d, {"$or": [{"origin.n_chars": {"$gt": "0"}}, {"lang": {"$lt": 5}}, {"english": {"$in": [1, "true", True]}}, {"origin.source": "src2"}]})
 
 
 @query("SELECT doc_id, CASE WHEN length(trim(text)) > 0 THEN text ELSE source END AS shown FROM documents")

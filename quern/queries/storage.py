@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import blocks as B
@@ -119,15 +118,18 @@ def btree_prefix(spark, d):
     return table(spark, d, "part").where(F.col("p_name").startswith("p")).select("p_partkey", "p_name")
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey = 32")
+@query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey IN (SELECT s_suppkey * 32 FROM supplier)")
 def composite_prefix(spark, d):
-    """By the first part of a key of two, as a value and not as a prefix of its text."""
-    return table(spark, d, "lineitem").where("l_orderkey = 32").select("l_orderkey", "l_linenumber", "l_partkey")
+    """By the first part of a key of two, as a value and not as a prefix of its text (32 isn't 320); a batch of them."""
+    keys = table(spark, d, "supplier").select((F.col("s_suppkey") * 32).alias("l_orderkey"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").join(keys, "l_orderkey", "left_semi")
 
 
-@query("SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey = 42")
+@query("SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey IN (SELECT s_suppkey * 7 FROM supplier)")
 def hash_lookup(spark, d):
-    return table(spark, d, "customer").where("c_custkey = 42").select("c_custkey", "c_mktsegment")
+    """A batch of keys, some of which aren't there."""
+    keys = table(spark, d, "supplier").select((F.col("s_suppkey") * 7).alias("c_custkey"))
+    return table(spark, d, "customer").select("c_custkey", "c_mktsegment").join(keys, "c_custkey", "left_semi")
 
 
 @query("SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders WHERE o_orderkey BETWEEN 100 AND 2000")

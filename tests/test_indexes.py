@@ -441,6 +441,24 @@ def test_goal_hops(spark):
     assert (one[3].hops, one[3].stopped, one[3].pending) == (1, False, "subtask_2")
 
 
+def test_operations_by_name(spark):
+    from quern.plans import planner as P
+
+    e = small(spark, "embeddings")
+    q = e.where("vec_id = 3").select(F.col("embedding").alias("q"))
+    rows = e.select("vec_id", "embedding", F.to_json(F.struct("label")).alias("meta"))
+    exact = P.plan("ExactSearch", rows, query=q, k=5).result.collect()
+    assert exact[0].vec_id == 3 and exact == P.plan("VectorSearch", rows, query=q, k=5).result.collect()
+    label = e.where("vec_id = 3").first().label
+    got = P.plan("FilteredSearch", rows, query=q, k=500, condition={"label": label}, metadata="meta").result.count()
+    assert got == e.where(F.col("label") == label).count()
+    assert P.plan("RangeScan", e, column="vec_id", low=3, high=7).result.count() == 5
+    assert P.plan("FullScan", e, columns=["vec_id"], limit=4).result.columns == ["vec_id"] and P.plan("FullScan", e).result.count() == e.count()
+    assert P.plan("Aggregate", e, op="max", column="vec_id").result.first().value == e.agg(F.max("vec_id")).first()[0]
+    with pytest.raises(ValueError):
+        P.plan("Nothing", e)
+
+
 def test_defaults_and_extensions():
     assert defaults.index_parameters() == {"clusters": 10, "n_probe": 2} and defaults.index_parameters("hnsw", m=8)["m"] == 8
     assert Counter(c.kind for c in defaults.CATALOGUE) == {"btree": 3, "hash": 4, "composite": 2, "covering": 2}
