@@ -76,12 +76,13 @@ def _in_blocks(rows: DataFrame, key: str, large: DataFrame | None) -> DataFrame:
     return dealt.select(low.alias("_i"), F.when(F.col("_other") < 0, -1).otherwise(high).cast("long").alias("_j"), "_block", *rows.columns)
 
 
-def bucket_pairs(rows: DataFrame, key: str, within: Callable[[pa.Table], dict], across: Callable[[pa.Table, pa.Table], dict], made: str, large: DataFrame | None = None) -> DataFrame:
+def bucket_pairs(rows: DataFrame, key: str, within: Callable[[pa.Table], dict], across: Callable[[pa.Table, pa.Table], dict], made: str, large: DataFrame | None = None, many: Callable[[pa.Table], dict] | None = None) -> DataFrame:
     """What within() makes of every bucket, or of a block of a large one, and across() of every two blocks of one.
 
     rows: a column of longs that names the bucket, and others; no row twice. made: the columns of the result, "a long, b
-    long"; within and across return them as a dict of lists or arrays. large: what large_buckets() gives; the result doesn't
-    depend on it. Buckets of one row make nothing. An empty
+    long"; within and across return them as a dict of lists or arrays. many: what within() makes of several buckets, one
+    after another, at once; small buckets go to it together where it is given. large: what large_buckets() gives; the
+    result depends on neither. Buckets of one row make nothing. An empty
     table is fine; rows with a null key must be left out by the caller.
     """
     names = rows.columns
@@ -110,15 +111,22 @@ def bucket_pairs(rows: DataFrame, key: str, within: Callable[[pa.Table], dict],
 
         # A group ends where the key changes or the rows end: a run of exactly BLOCK rows has no table that says so.
         held, aside, now = [], 0, None
+        small, n_small = [], 0
         for k, done, t in runs(batches, [key, "_i", "_j"]):
             if k != now:
                 if held:
                     yield from made_of(of_blocks(now, held))
                 held, aside, now = [], 0, k
+            if n_small >= BLOCK:
+                yield from made_of(many(pa.concat_tables(small)))
+                small, n_small = [], 0
             if k[1] >= 0:
                 held.append(t)
             elif done and not aside and t.num_rows <= BLOCK:
-                if t.num_rows > 1:
+                if t.num_rows > 1 and many is not None:
+                    small.append(t.select(names))
+                    n_small += t.num_rows
+                elif t.num_rows > 1:
                     yield from made_of(within(t.select(names)))
             else:
                 block = (aside + np.arange(t.num_rows)) // BLOCK
@@ -126,6 +134,8 @@ def bucket_pairs(rows: DataFrame, key: str, within: Callable[[pa.Table], dict],
                 yield from put(t.num_rows, _block=pa.array(block, pa.int64()), **{f"_r_{f.name}": t.column(f.name).cast(f.type) for f in row_schema})
         if held:
             yield from made_of(of_blocks(now, held))
+        if small:
+            yield from made_of(many(pa.concat_tables(small)))
 
     def second(batches):
         def made_of(found):

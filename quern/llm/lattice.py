@@ -32,8 +32,8 @@ from .components import components
 COSINE, RECALL, PROBES, NEAR, SEED = 0.95, 0.99, 4, 6, 31
 #: Bits of cells beyond those that number the vectors; bits that a block's point has at scale 1 (the entropy of 8 normal numbers, a cell having volume 1).
 SPARE, BLOCK_BITS = 5.0, 8 * math.log2(math.sqrt(2 * math.pi * math.e))
-#: Rows of a block that are compared with the other's at once.
-ROWS = 256
+#: Rows of a block that are compared with the other's at once; rows of a bucket up to which it is compared together with others.
+ROWS, SMALL = 256, 64
 
 
 @cache
@@ -145,7 +145,32 @@ class _Rows:
         self.unit = unit(_vectors(t.column("vec")))
         self.node, self.id, self.copies = (t.column(c).to_numpy() for c in ("node", "id", "copies"))
         self.home = t.column("home").to_numpy() == 1
-        self.key = t.column("key")[0].as_py()
+        self.keys = t.column("key").to_numpy()
+        self.key = int(self.keys[0])
+
+
+def _compare_many(x: _Rows, form: tuple[int, float, int]) -> dict:
+    """_compare() within each of several buckets, one after another, at once: rows are taken with the next, the next but one and so on of their bucket."""
+    begin = np.flatnonzero(np.r_[True, x.keys[1:] != x.keys[:-1]])
+    last = np.repeat(np.r_[begin[1:], len(x.keys)], np.diff(np.r_[begin, len(x.keys)])) - 1  # of each row's bucket
+    found, i, off = [], np.arange(len(x.keys)), 0
+    while len(i := i[last[i] > i + off]):
+        off += 1
+        j = i + off
+        near = (x.home[i] | x.home[j]) & (x.node[i] != x.node[j])
+        a, b = i[near], j[near]
+        close = np.einsum("nd,nd->n", x.unit[a], x.unit[b]) >= COSINE
+        found.append((a[close], b[close]))
+    a, b = (np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)]) for k in (0, 1))
+    if not len(a):
+        return {"kind": [], "a": [], "b": []}
+    rows, where = np.unique(np.concatenate([a, b]), return_inverse=True)
+    of = cells(x.unit[rows], form)
+    first = _first_meeting(of[where[: len(a)]], of[where[len(a) :]], x.keys[a])
+    fa, fb = a[first], b[first]
+    every, at = np.unique(np.concatenate([x.id[a], x.id[b]]), return_inverse=True)
+    p, q = chains(every, at[: len(a)], at[len(a) :])
+    return _summed([x.node[fa], x.node[fb]], [x.copies[fb], x.copies[fa]], [p], [q])
 
 
 def _by_length(t: pa.Table) -> dict[int, pa.Table]:
@@ -158,8 +183,9 @@ def _joined(found: list[dict]) -> dict:
     return {k: np.concatenate([np.asarray(f[k], np.int64) for f in found] or [np.zeros(0, np.int64)]) for k in ("kind", "a", "b")}
 
 
-def _first_meeting(x: np.ndarray, y: np.ndarray, key: int) -> np.ndarray:
-    """Of pairs of rows with cells x and y, those that meet here first: in the first table, and there in the smaller of the two cells that they may share."""
+def _first_meeting(x: np.ndarray, y: np.ndarray, key: int | np.ndarray) -> np.ndarray:
+    """Of pairs of rows with cells x and y, those that meet first in the cell that key says, for all or each: in the first table, and there in the smaller of the two cells that they may share."""
+    key = np.broadcast_to(key, len(x))
     first, open_ = np.zeros(len(x), bool), np.arange(len(x))
     for t in range(x.shape[1]):  # most pairs meet in the first tables, and need no look at the others
         cx, cy = x[open_, t], y[open_, t]
@@ -167,7 +193,7 @@ def _first_meeting(x: np.ndarray, y: np.ndarray, key: int) -> np.ndarray:
         in_x, in_y = (cy == hx[:, None]).any(1), (cx == hy[:, None]).any(1)
         where = np.where(in_x & in_y, np.minimum(hx, hy), np.where(in_x, hx, hy))
         met = in_x | in_y
-        first[open_[met & (where == key)]] = True
+        first[open_[met & (where == key[open_])]] = True
         open_ = open_[~met]
         if not len(open_):
             break
@@ -200,6 +226,11 @@ def _compare(x: _Rows, y: _Rows, same: bool, form: tuple[int, float, int]) -> di
         p, q = chains(every, where[: len(a)], where[len(a) :])
         low.append(p)
         high.append(q)
+    return _summed(node, weight, low, high)
+
+
+def _summed(node: list, weight: list, low: list, high: list) -> dict:
+    """The rows of kind 1 and 0 from nodes with numbers of links, and ends of edges."""
     if not node:
         return {"kind": [], "a": [], "b": []}
     each, where = np.unique(np.concatenate(node), return_inverse=True)
@@ -288,7 +319,20 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
         one, two = _by_length(s), _by_length(t)
         return _joined([_compare(_Rows(one[n]), _Rows(two[n]), False, form) for n in one if n in two])
 
-    made = cut(bucket_pairs(fetched, "key", within, across, "kind long, a long, b long", large))
+    def many(t: pa.Table) -> dict:
+        out = []
+        for part in _by_length(t).values():
+            x = _Rows(part)
+            size = np.unique(x.keys, return_inverse=True, return_counts=True)
+            few = size[2][size[1]] <= SMALL
+            if few.any():
+                out.append(_compare_many(x if few.all() else _Rows(part.filter(pa.array(few))), form))
+            for key in size[0][size[2] > SMALL]:
+                one = _Rows(part.filter(pa.array(x.keys == key)))
+                out.append(_compare(one, one, True, form))
+        return _joined(out)
+
+    made = cut(bucket_pairs(fetched, "key", within, across, "kind long, a long, b long", large, many))
     links = made.where("kind = 1").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("others"))
     # An id that different vectors carry holds them together.
     several = slim.where("h1 is not null").groupBy("id").agg(F.min(F.struct("h1", "h2")).alias("x"), F.max(F.struct("h1", "h2")).alias("y")).where("x <> y").select("id")

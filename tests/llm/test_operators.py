@@ -363,6 +363,38 @@ def test_cells_of_a_row_alone():
     assert (lattice.cells(lattice.unit(u), form)[::7] == alone).all()
 
 
+def test_small_buckets_together():
+    """Several buckets at once give what each gives alone."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(40, 16))
+    x = np.concatenate([c + 0.15 * rng.normal(size=(12, 16)) for c in centres])
+    form = lattice.layout(len(x))
+    c = lattice.cells(lattice.unit(x), form)
+    posted = sorted((int(c[n, t, k]), n, int(k == 0)) for n in range(len(x)) for t in range(c.shape[1]) for k in range(c.shape[2]))
+    groups = [list(g) for _, g in itertools.groupby(posted, key=lambda p: p[0])]
+    groups = [g for g in groups if len(g) > 1]
+
+    def table(rows_):
+        n = [p[1] for p in rows_]
+        return pa.table({"vec": pa.array(list(x[n]), pa.list_(pa.float64())), "node": n, "id": [10 * i for i in n], "copies": [1 + i % 3 for i in n], "home": [p[2] for p in rows_], "key": [p[0] for p in rows_]})
+
+    def total(found):
+        links, edges = Counter(), []
+        for f in found:
+            for kind, a, b in zip(f["kind"], f["a"], f["b"], strict=True):
+                if kind:
+                    links[int(a)] += int(b)
+                else:
+                    edges.append((int(a) // 10, int(b) // 10))
+        return links, _graph(len(x), edges)
+
+    alone = [lattice._compare(r, r, True, form) for r in (lattice._Rows(table(g)) for g in groups)]
+    together = lattice._compare_many(lattice._Rows(table([p for g in groups for p in g])), form)
+    assert total(alone) == total([together]) and sum(total(alone)[0].values()) > 1000
+
+
 def test_useful_postings():
     import pyarrow as pa
 
